@@ -26,7 +26,7 @@ from tessera.functions.folding import fold_name
 from tessera.session import materialize
 
 #: Target bytes of a block's payload before Parquet compression.
-BLOCK_BYTES = 128 << 20
+BLOCK_BYTES = 64 << 20
 #: A list of repeated records is broadcast up to this many rows (about 60 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 

@@ -11,7 +11,7 @@ from tessera.operators.skew import heavy_keys, totals_per_key
 from tessera.sources.tables import table
 
 HEAVY_SHARE = 0.05
-BLOCK_BYTES = 128 << 20
+BLOCK_BYTES = 64 << 20
 
 
 def _named_totals(spark: SparkSession, folder: str) -> DataFrame:
