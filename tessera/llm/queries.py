@@ -6,13 +6,84 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.folding import fold_dna
+from tessera.llm.clusters import similar_pairs, typical_members
 from tessera.llm.heavy_items import exact_counts, frequent_items
+from tessera.llm.leakage import leaked_items
 from tessera.llm.near_duplicates import group_pairs, molecule_groups
+from tessera.llm.neighbours import nearest_vectors
+from tessera.llm.packing import fill_report, pack_texts, rule_tokens, vocabulary_tokens
+from tessera.llm.residue import template_residue
 from tessera.llm.survivors import surviving_reads
+from tessera.operators.components import connected_components
 from tessera.session import materialize
 from tessera.sources.tables import table
 
 
+PROFILE_PLACES = 64
+VECTOR_PLACES = 96
+NEIGHBOURS = 5
+LEAST_COSINE = 0.75
+CAPACITY = 1024
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs, _, _ = similar_pairs(table(spark, folder, "guide_profiles"), "profile_id", "log2_fold_changes", PROFILE_PLACES)
+    return pairs.select(F.col("a").alias("profile_id_a"), F.col("b").alias("profile_id_b"))
+
+
+def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every cluster with its size and its most typical profiles."""
+    pairs, vectors, model = similar_pairs(table(spark, folder, "guide_profiles"), "profile_id", "log2_fold_changes", PROFILE_PLACES)
+    members = connected_components(pairs, "a", "b", "clusters")
+    if model is None:
+        return members.select(F.col("component").alias("cluster_id"), F.lit(0).cast("long").alias("size"), F.array(F.col("node")).alias("typical")).limit(0)
+    return typical_members(members, vectors, model, PROFILE_PLACES)
+
+
+def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    near = nearest_vectors(table(spark, folder, "guide_vectors"), "vec_id", "all_guide_correlations", VECTOR_PLACES, NEIGHBOURS)
+    return near.select("id", "other", F.round("cosine", 6).alias("cosine"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = nearest_vectors(table(spark, folder, "guide_vectors"), "vec_id", "all_guide_correlations", VECTOR_PLACES, NEIGHBOURS)
+    return near.filter(F.col("cosine") >= LEAST_COSINE).select(F.least("id", "other").alias("vec_id_a"), F.greatest("id", "other").alias("vec_id_b")).distinct()
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_texts(table(spark, folder, "documents"), "doc_id", rule_tokens(F.col("text")), CAPACITY)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_containers(spark, folder).filter("piece = 1").select("doc_id")
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_report(p8_containers(spark, folder), CAPACITY)
+
+
+def p8_fill_vocabulary(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The same with the tokens of a public tokenizer."""
+    return fill_report(pack_texts(table(spark, folder, "documents"), "doc_id", vocabulary_tokens(F.col("text"), tokenizer), CAPACITY), CAPACITY)
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_leaks(spark, folder).filter("edits = 0").select("item_id", "doc_id")
+
+
+def p10_residue(spark: SparkSession, folder: str) -> DataFrame:
+    return template_residue(table(spark, folder, "documents"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_residue(spark, folder).select("doc_id").distinct()
+
+
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return molecule_groups(table(spark, folder, "umi_reads"))
 
@@ -49,7 +120,9 @@ def p6_bounds(spark: SparkSession, folder: str) -> DataFrame:
     return counts.filter(F.col("n_records") >= F.lit(total * FREQUENT_SHARE)).select("field", "item", "n_records", holds.alias("within_bounds"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_bounds": p6_bounds, "p7_found": p7_found}
+QUERIES = {
+    "p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p8_fill_vocabulary": p8_fill_vocabulary, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_residue": p10_residue, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_bounds": p6_bounds, "p7_found": p7_found}
 
 _ITEMS = """
 with recs as (
@@ -61,7 +134,15 @@ items as (
 counts as (select field, item, count(*) as n_records from items group by field, item having count(*) * 100 >= (select count(*) from recs))
 """
 
+_WORDS = r"list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
+
 ORACLE: dict[str, str] = {
+    "p8_found": r"select doc_id from documents where len(regexp_extract_all(text, '[A-Za-z0-9]+|[^ \t\r\n]')) > 1024",
+    "p9_found": f"""
+with i as (select item_id, {_WORDS} as w from eval_items), d as (select doc_id, {_WORDS} as w from documents),
+ig as (select distinct item_id, array_to_string(w[k:k+11], ' ') as g from i, unnest(range(1, len(w) - 10)) as t(k)),
+dg as (select distinct doc_id, array_to_string(w[k:k+11], ' ') as g from d, unnest(range(1, len(w) - 10)) as t(k))
+select distinct item_id, doc_id from ig join dg using (g)""",
     "p6_found": _ITEMS + "select field, item from counts",
     "p6_bounds": _ITEMS + "select field, item, n_records, true as within_bounds from counts",
 }
