@@ -118,6 +118,10 @@ def _first(df: DataFrame, key: str, k: int, *order) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_r") <= k).drop("_p", "_r")
 
 
+def spark_cores(df: DataFrame) -> int:
+    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+
+
 def nearest_vectors(df: DataFrame, row_id: str, vector: str, width: int, k: int = 5, shard_rows: int = SHARD_ROWS, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
     """``id, other, cosine``: the ``k`` vectors most similar to every vector by cosine, ties by the smaller id.
 
@@ -141,7 +145,8 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, width: int, k: int
     index = home.join(parts, "cell").select("id", "vec", (F.col("cell").cast("long") * 65536 + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("shard"), F.lit(0).alias("role"))
     asked = placed.select("id", "vec", F.explode("near").alias("cell")).join(parts, "cell")
     query = asked.select("id", "vec", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cell").select("id", "vec", (F.col("cell").cast("long") * 65536 + F.col("part")).alias("shard"), F.lit(1).alias("role"))
-    both = index.unionByName(query).repartition("shard").sortWithinPartitions("shard", "role")
+    # a fixed number, since small partitions that are put together by size would hold several searches each
+    both = index.unionByName(query).repartition(min(10_000, max(n // shard_rows * 3, spark_cores(df))), "shard").sortWithinPartitions("shard", "role")
     found = both.mapInArrow(_search_shards(width, k, beam), "id long, other long, cosine double")
     near = found.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("_r") <= k).drop("_r")
     copies = nodes.filter("n > 1")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -87,12 +88,21 @@ _QUOTES = re.compile(r"\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”|„[^“\n]{0,20
 _REPEAT = re.compile(r"(?<!\w)([^\W\d_]{2,10})(?:[\s,.;]+\1(?!\w)){4,}", re.I)
 _DNA = re.compile(r"[ACGTN]+$", re.I)
 _FENCE = re.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)|<(pre|code)\b.*?</\1>", re.S | re.I)
-#: Anything without one of these has no case; a cheap test for the bulk of the texts.
-_HINT = re.compile(
-    r"[{}\[«@$]|&lt;|<[A-Za-z%<!]|%%|%\(|__|\((?:fill|insert|enter|add|your)\b|scripts?\b|skript|error|erreur|fehler|exception|traceback|\b[45]\d\d\b|not found|denied|refus|verweigert|denegado|forbidden|blocked|human|session|sign in|log in|went wrong|connect|unavailable|indisponible|disponible|maintenance|try again|nicht gefunden|encontrada|introuvable|dienst|"
-    r"lorem|ipsum|amet|aliqua|quorum|labitur|text\b|texte|texto|copy|goes here|replace|remplace|ersetz|click|tap to|typing|type (?:your|some)|write your|delete this|insert|placeholder|sample|dummy|filler|blank|coming soon|aqu[ií] va|oops|whoops|exist|record you asked|no results|browser|captcha|memory",
-    re.I,
-)
+#: A unit without one of these, in lower case, is no case: a cheap test for the bulk of the texts.
+HINTS = (
+    # delimiters
+    "{", "$", "@@", "%%", "%(", "__", "«", "<", "&lt;", "[[", "[a", "[b", "[c", "[e", "[f", "[h", "[i", "[o", "[p", "[s", "[t", "[v", "[y", "(add", "(enter", "(fill", "(insert", "(your",
+    "to be ", "tbd", "tbc", "todo", "here]", "hier]", "ici]", "aquí]", "eintragen", "einfügen", "ausfüllen", "completar", "compléter",
+    # filler
+    "lorem", "ipsum", "amet", "aliqua", "ullam", "veniam", "nostrud", "quorum", "labitur", "posuit", "text", "copy", "goes here", "replace", "remplace", "ersetz", "faux", "dummy", "filler", "placeholder", "sample",
+    "blank", "coming soon", "click", "tap to", "typing", "type your", "type something", "write your", "enter your", "put your", "add your", "delete this", "insert text", "insert your", "insert content", "insert description", "aquí va", "aqui va",
+    # errors
+    "error", "erreur", "fehler", "exception", "traceback", "stack", ".java", "memory", "http", "status", "found", "gefunden", "encontrada", "introuvable", "exist", "page", "seite", "página", "pagina", "url", "record you", "no results",
+    "denied", "denegado", "verweigert", "refus", "permission", "forbidden", "unauthorized", "blocked", "unusual", "human", "captcha", "request", "gateway", "unavailable", "indisponible", "disponible", "dienst", "service", "serveur", "servidor",
+    "timeout", "time-out", "gone", "allowed", "too many", "connect", "maintenance", "session", "sign in", "log in", "went wrong", "try again", "be back soon", "oops", "whoops", "sorry", "uh oh", "team has been", "code 4", "code 5",
+    # scripts
+    "script", "skript", "browser",
+)
 
 
 def _units(text: str) -> Iterator[str]:
@@ -126,15 +136,21 @@ def residue_kind(text: str | None) -> str | None:
 
     Null and empty texts have none.  The first kind in reading order counts.
     """
-    if not text or not (_HINT.search(text) or _REPEAT.search(text)):
+    if not text:
         return None
-    plain = _FENCE.sub(" ", text)
-    m = _REPEAT.search(plain)
-    if m and not _DNA.match(m.group(1)):
+    words = text.split()
+    if any(map(eq, words, words[1:])) and (m := _REPEAT.search(_FENCE.sub(" ", text))) and not _DNA.match(m.group(1)):
         return "filler"
-    if _INSIDE.search(_QUOTES.sub(" ", plain)):
+    low = text.lower()
+    if not any(h in low for h in HINTS):
+        return None
+    plain = _FENCE.sub(" ", text) if "```" in text or "~~~" in text or "<pre" in low or "<code" in low else text
+    if "<" in plain and _INSIDE.search(_QUOTES.sub(" ", plain)):
         return "scripts" if "noscript" in plain.lower() else "error"
     for unit in _units(plain):
+        low = unit.lower()
+        if not any(h in low for h in HINTS):
+            continue
         quoted = [q.span() for q in _QUOTES.finditer(unit)]
         spans = [(k, a, b) for k, a, b in _placeholders(unit) if not any(x <= a and b <= y for x, y in quoted)]
         if spans and not _is_about(unit, [(a, b) for _, a, b in spans]):
