@@ -55,3 +55,9 @@ def grouped_categories(counts: DataFrame, kept: list[str], not_relevant: tuple[s
     """Fractions of the kept categories; the rest is 'all others', what is not relevant is left out before."""
     rows = counts.filter(~F.col("category").isin(*not_relevant)).withColumn("category", F.when(F.col("category").isin(*kept), F.col("category")).otherwise("all others"))
     return share_of_total(rows.groupBy("guide", "category").agg(F.sum("n").alias("n")), "n", "fraction", ["guide"])
+
+
+def expected_in_quantile(totals_: DataFrame, n: float = 15, q: float = 0.25) -> float:
+    """Least fraction of an outcome of which ``n`` records are expected in a guide at quantile ``q`` of the sizes."""
+    size = totals_.agg(F.percentile("total", F.lit(q))).first()[0]
+    return n / size if size else float("inf")

@@ -85,7 +85,7 @@ def active_guides(chi: DataFrame, guides: DataFrame, multiple: float = 2.0) -> D
 def guides_by_activity(chi: DataFrame, guides: DataFrame) -> DataFrame:
     """Guides of every gene in order of activity, the most active first."""
     rows = chi.join(guides.select("guide", "gene"), "guide")
-    return rows.withColumn("activity_rank", F.row_number().over(Window.partitionBy("gene").orderBy(F.desc("chi_squared"), "guide")))
+    return rows.withColumn("activity_rank", F.row_number().over(Window.partitionBy("gene").orderBy(F.round("chi_squared", 6).desc(), "guide")))
 
 
 def choose_count(n: Column, f: Column) -> Column:
@@ -125,8 +125,13 @@ def gene_directions(stats: DataFrame, max_k: int = 9) -> DataFrame:
 
 
 def with_intervals(stats: DataFrame, k: str = "numerator", n: str = "denominator", alpha: float = 0.05) -> DataFrame:
-    """Exact intervals of the fraction, and of the log2 fold change within [-6, 5]."""
-    rows = stats.withColumn("_i", clopper_pearson_udf(alpha)(F.col(k).cast("double"), F.col(n).cast("double"))).withColumn("interval_low", F.col("_i.low")).withColumn("interval_high", F.col("_i.high")).drop("_i")
+    """Exact intervals of the fraction, and of the log2 fold change within [-6, 5].
+
+    Every distinct pair of counts is solved once and joined back.
+    """
+    keys = stats.select(F.col(k).cast("long").alias("_k"), F.col(n).cast("long").alias("_n")).distinct()
+    solved = keys.withColumn("_i", clopper_pearson_udf(alpha)(F.col("_k").cast("double"), F.col("_n").cast("double"))).select("_k", "_n", F.col("_i.low").alias("interval_low"), F.col("_i.high").alias("interval_high"))
+    rows = stats.join(solved, F.col(k).cast("long").eqNullSafe(F.col("_k")) & F.col(n).cast("long").eqNullSafe(F.col("_n"))).drop("_k", "_n")
     log = lambda c: F.when(F.col("nt_fraction") > 0, F.when(F.col(c) > 0, clamp(F.log2(F.col(c) / F.col("nt_fraction")), -6.0, 5.0)).otherwise(F.lit(-6.0)))
     return rows.withColumn("log2_low", log("interval_low")).withColumn("log2_high", log("interval_high"))
 
