@@ -93,26 +93,28 @@ def correct_barcodes(records: DataFrame, by: list[str], barcode: str, reads: str
 def call_consensus(seqs: list[str], quals: list[str]) -> tuple[str, str]:
     """Base by base the one with the most sure votes, then votes, then mean quality; an exact tie is N."""
     width = max(map(len, seqs))
-    base, score = np.zeros((len(seqs), width), "S1"), np.full((len(seqs), width), -1)
+    base, score = np.zeros((len(seqs), width), np.uint8), np.full((len(seqs), width), -1, np.int64)
     for i, (s, q) in enumerate(zip(seqs, quals)):
-        base[i, : len(s)] = np.frombuffer(s.encode("ascii", "replace"), "S1")
-        score[i, : len(q)] = np.frombuffer(q.encode("ascii", "replace"), np.uint8).astype(int) - 33
-    out, quality = [], []
-    for j in range(width):
-        have = score[:, j] >= 0
-        ranked = []
-        for b in np.unique(base[have, j]):
-            own = score[have & (base[:, j] == b), j]
-            ranked.append((int((own >= COUNTED_QUALITY).sum()), len(own), float(own.mean()), b.decode()))
-        ranked.sort(key=lambda r: r[:3], reverse=True)
-        if len(ranked) > 1 and ranked[0][:3] == ranked[1][:3]:
-            out.append("N")
-            quality.append(UNSURE)
-        else:
-            sure, n, _, b = ranked[0]
-            out.append(b)
-            quality.append(HIGH if sure >= 1 and n * 2 > have.sum() else LOW)
-    return "".join(out), "".join(chr(33 + x) for x in quality)
+        base[i, : len(s)] = np.frombuffer(s.encode("ascii", "replace"), np.uint8)
+        score[i, : len(q)] = np.frombuffer(q.encode("ascii", "replace"), np.uint8).astype(np.int64) - 33
+    have = score >= 0
+    letters = np.unique(base[have])
+    if len(letters) == 0:
+        return "", ""
+    votes = np.stack([have & (base == b) for b in letters])
+    count = votes.sum(1)
+    sure = (votes & (score >= COUNTED_QUALITY)).sum(1)
+    mean = np.where(count > 0, np.where(votes, score, 0).sum(1) / np.maximum(count, 1), -1.0)
+    # candidates drop out criterion by criterion; more than one left is a tie
+    left = count > 0
+    for value in (sure, count, mean):
+        best = np.where(left, value, -2).max(0)
+        left &= value == best
+    tie, pick, at = left.sum(0) > 1, left.argmax(0), np.arange(width)
+    strong = (sure[pick, at] >= 1) & (count[pick, at] * 2 > have.sum(0))
+    out = np.where(tie, np.uint8(ord("N")), letters[pick]).astype(np.uint8)
+    quality = np.where(tie, UNSURE, np.where(strong, HIGH, LOW)) + 33
+    return out.tobytes().decode("ascii"), quality.astype(np.uint8).tobytes().decode("ascii")
 
 
 def cluster_reads(seqs: list[str], quals: list[str], allowed: int = 0) -> list[tuple[str, str, int]]:
@@ -132,7 +134,7 @@ def cluster_reads(seqs: list[str], quals: list[str], allowed: int = 0) -> list[t
         seed, n = min(counts.items(), key=lambda x: (-x[1], x[0]))
         if n == 1 and len(left) > 1:
             seed, _ = call_consensus([seqs[i] for i in left], [quals[i] for i in left])
-        near = [i for i in left if sum(1 for a, b, q in zip(seed, seqs[i], quals[i]) if a != b and ord(q) - 33 >= SEED_QUALITY) <= allowed]
+        near = [i for i in left if seqs[i] == seed or sum(1 for a, b, q in zip(seed, seqs[i], quals[i]) if a != b and ord(q) - 33 >= SEED_QUALITY) <= allowed]
         if not near:
             out += [(seqs[i], quals[i], 1) for i in left]
             break
@@ -156,7 +158,9 @@ def collapse_reads(reads: DataFrame, by: list[str], read_id: str, seq: str, qual
     part = F.when(F.col("_n") > group_reads, F.xxhash64("seq")).otherwise(F.lit(0).cast("long"))
     types = dict(reads.select(*by).dtypes)
     ddl = ", ".join(f"`{c}` {types[c]}" for c in by) + ", num_reads long, seq string, qual string"
-    many = sized.filter("_n > 1").withColumn("_part", part).repartition(*by, "_part").sortWithinPartitions(*by, "_part", "read_id").select(*by, "_part", "seq", "qual")
+    # a fixed number of partitions: the work in Python is out of proportion to the bytes that adaptive planning sees
+    number = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = sized.filter("_n > 1").withColumn("_part", part).repartition(number, *by, "_part").sortWithinPartitions(*by, "_part", "read_id").select(*by, "_part", "seq", "qual")
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, seqs, quals = None, [], []

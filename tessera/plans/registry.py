@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["tessera.plans.outcome_queries", "tessera.plans.molecule_queries", "tessera.plans.skew_and_files"]
+MODULES = ["tessera.plans.outcome_queries", "tessera.plans.molecule_queries", "tessera.plans.position_queries", "tessera.plans.relation_queries", "tessera.plans.source_queries", "tessera.plans.skew_and_files"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

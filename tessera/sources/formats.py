@@ -188,8 +188,9 @@ def wide_to_long(df: DataFrame, key: str, name: str = "guide", value: str = "val
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Tab-separated records in which 'n/a' and empty texts stay texts."""
-    return spark.read.schema(schema).option("sep", "\t").option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    """Tab-separated records in which 'n/a' and empty texts stay texts; a text file knows no null."""
+    df = spark.read.schema(schema).option("sep", "\t").option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    return df.fillna("", [c for c, kind in df.dtypes if kind == "string"])
 
 
 def write_selection(df: DataFrame, path: str) -> None:
