@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.literals import fold, required
+
 _NAME = r"[A-Za-z_][\w.]{0,40}"
 _WORDS = r"[A-Za-z][\w'-]*(?:[ _][\w'-]+){0,5}"
 
@@ -88,21 +90,11 @@ _QUOTES = re.compile(r"\"[^\"\n]{0,200}\"|“[^”\n]{0,200}”|„[^“\n]{0,20
 _REPEAT = re.compile(r"(?<!\w)([^\W\d_]{2,10})(?:[\s,.;]+\1(?!\w)){4,}", re.I)
 _DNA = re.compile(r"[ACGTN]+$", re.I)
 _FENCE = re.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)|<(pre|code)\b.*?</\1>", re.S | re.I)
-#: A unit without one of these, in lower case, is no case: a cheap test for the bulk of the texts.
-HINTS = (
-    # delimiters
-    "{", "$", "@@", "%%", "%(", "__", "«", "<", "&lt;", "[[", "[a", "[b", "[c", "[e", "[f", "[h", "[i", "[o", "[p", "[s", "[t", "[v", "[y", "(add", "(enter", "(fill", "(insert", "(your",
-    "to be ", "tbd", "tbc", "todo", "here]", "hier]", "ici]", "aquí]", "eintragen", "einfügen", "ausfüllen", "completar", "compléter",
-    # filler
-    "lorem", "ipsum", "amet", "aliqua", "ullam", "veniam", "nostrud", "quorum", "labitur", "posuit", "text", "copy", "goes here", "replace", "remplace", "ersetz", "faux", "dummy", "filler", "placeholder", "sample",
-    "blank", "coming soon", "click", "tap to", "typing", "type your", "type something", "write your", "enter your", "put your", "add your", "delete this", "insert text", "insert your", "insert content", "insert description", "aquí va", "aqui va",
-    # errors
-    "error", "erreur", "fehler", "exception", "traceback", "stack", ".java", "memory", "http", "status", "found", "gefunden", "encontrada", "introuvable", "exist", "page", "seite", "página", "pagina", "url", "record you", "no results",
-    "denied", "denegado", "verweigert", "refus", "permission", "forbidden", "unauthorized", "blocked", "unusual", "human", "captcha", "request", "gateway", "unavailable", "indisponible", "disponible", "dienst", "service", "serveur", "servidor",
-    "timeout", "time-out", "gone", "allowed", "too many", "connect", "maintenance", "session", "sign in", "log in", "went wrong", "try again", "be back soon", "oops", "whoops", "sorry", "uh oh", "team has been", "code 4", "code 5",
-    # scripts
-    "script", "skript", "browser",
-)
+#: Per pattern literals of which every match holds one, folded: a pattern is only run on a text that holds one of its own.
+_IMPLIED = {k: tuple(sorted(required(p))) for k, p in (PLACEHOLDERS | MESSAGES).items()}
+_IMPLIED["latin"] = tuple(sorted(CORE_LATIN))
+#: All of them: a text without one of these, folded, is no case, unless it repeats a word.
+HINTS = tuple(sorted({h for hints in _IMPLIED.values() for h in hints}))
 
 
 def _units(text: str) -> Iterator[str]:
@@ -111,12 +103,21 @@ def _units(text: str) -> Iterator[str]:
             yield from (s for s in _SENTENCE.split(line) if s.strip())
 
 
-def _placeholders(unit: str) -> list[tuple[str, int, int]]:
-    found = []
-    for kinds in (_FREE, _CASED):
-        for kind, p in kinds.items():
-            found += [(kind, m.start(), m.end()) for m in p.finditer(unit)]
-    return found
+def _holds(low: str, hints: tuple[str, ...]) -> bool:
+    for h in hints:
+        if h in low:
+            return True
+    return False
+
+
+def _placeholders(unit: str, kinds: list[str]) -> list[tuple[str, int, int]]:
+    return [(kind, m.start(), m.end()) for kind in kinds for m in (_FREE.get(kind) or _CASED[kind]).finditer(unit)]
+
+
+def _repeats(low: str) -> bool:
+    """Whether two neighbouring words are equal, as in every match of the pattern for repeated words."""
+    words = low.replace(",", " ").replace(".", " ").replace(";", " ").split()
+    return any(map(eq, words, words[1:]))
 
 
 def _is_about(unit: str, spans: list[tuple[int, int]]) -> bool:
@@ -138,28 +139,28 @@ def residue_kind(text: str | None) -> str | None:
     """
     if not text:
         return None
-    words = text.split()
-    if any(map(eq, words, words[1:])) and (m := _REPEAT.search(_FENCE.sub(" ", text))) and not _DNA.match(m.group(1)):
+    plain = _FENCE.sub(" ", text) if "```" in text or "~~~" in text or "<" in text else text
+    low = fold(plain)
+    if _repeats(low) and (m := _REPEAT.search(plain)) and not _DNA.match(m.group(1)):
         return "filler"
-    low = text.lower()
-    if not any(h in low for h in HINTS):
+    tried = {k for k, hints in _IMPLIED.items() if _holds(low, hints)}
+    if not tried:
         return None
-    plain = _FENCE.sub(" ", text) if "```" in text or "~~~" in text or "<pre" in low or "<code" in low else text
-    if "<" in plain and _INSIDE.search(_QUOTES.sub(" ", plain)):
+    if ("noscript" in tried or "html_error" in tried) and _INSIDE.search(_QUOTES.sub(" ", plain)):
         return "scripts" if "noscript" in plain.lower() else "error"
+    slots, messages = [k for k in PLACEHOLDERS if k in tried], [k for k in MESSAGES if k in tried]
     for unit in _units(plain):
-        low = unit.lower()
-        if not any(h in low for h in HINTS):
-            continue
-        quoted = [q.span() for q in _QUOTES.finditer(unit)]
-        spans = [(k, a, b) for k, a, b in _placeholders(unit) if not any(x <= a and b <= y for x, y in quoted)]
-        if spans and not _is_about(unit, [(a, b) for _, a, b in spans]):
-            return "placeholder"
-        if _pseudo_latin([w.lower() for w in _WORD.findall(unit)]):
+        low = fold(unit)
+        kinds = [k for k in slots if _holds(low, _IMPLIED[k])]
+        if kinds:
+            quoted = [q.span() for q in _QUOTES.finditer(unit)]
+            spans = [(a, b) for _, a, b in _placeholders(unit, kinds) if not any(x <= a and b <= y for x, y in quoted)]
+            if spans and not _is_about(unit, spans):
+                return "placeholder"
+        if "latin" in tried and _holds(low, _IMPLIED["latin"]) and _pseudo_latin([w.lower() for w in _WORD.findall(unit)]):
             return "filler"
-        for kind, p in _MESSAGE.items():
-            m = p.match(unit)
-            if m and not _is_about(unit, [m.span()]):
+        for kind in messages:
+            if _holds(low, _IMPLIED[kind]) and (m := _MESSAGE[kind].match(unit)) and not _is_about(unit, [m.span()]):
                 return "filler" if kind.startswith("filler") else "scripts" if kind.startswith(("scripts", "noscript")) else "error"
     return None
 
