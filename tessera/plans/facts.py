@@ -11,8 +11,10 @@ from tessera.operators.library import guide_dimension
 from tessera.session import materialize
 from tessera.sources.tables import table
 
-#: Number of outcomes that dense results are made for.
+#: Number of outcomes that the SQL takes, and the queries on activity and order of outcomes.
 FREQUENT_OUTCOMES = 100
+#: Number of outcomes that count as most frequent, as in the reference.
+MOST_FREQUENT_OUTCOMES = 1000
 
 
 def preferred_promoters(library: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def counts(spark: SparkSession, folder: str, by: list[str] | None = None) -> Dat
     return materialize(rows, "outcome-counts")
 
 
-def frequent(count_table: DataFrame, k: int = FREQUENT_OUTCOMES) -> DataFrame:
+def frequent(count_table: DataFrame, k: int = MOST_FREQUENT_OUTCOMES) -> DataFrame:
     return most_frequent(pooled_controls(count_table), "nt_n", k)
 
 

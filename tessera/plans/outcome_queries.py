@@ -71,7 +71,7 @@ def outcome_fractions(spark, folder):
 @query("select guide, category, subcategory, details, cast(n as bigint) as n, round(fraction, 6) as fraction, round(log2_fc, 6) as log2_fc from fc")
 def log2_fold_changes(spark, folder):
     cnt = facts.counts(spark, folder)
-    out = N.log2_fold_changes(cnt, facts.guides(spark, folder).select("guide"), facts.frequent(cnt))
+    out = N.log2_fold_changes(cnt, facts.guides(spark, folder).select("guide"), cnt.select(*OUTCOME).distinct())
     return out.select("guide", *OUTCOME, "n", r6("fraction").alias("fraction"), r6("log2_fc").alias("log2_fc"))
 
 
@@ -195,7 +195,7 @@ chi as (select sel.guide, sum(case when e.nt_n > 0 then pow(sel.n - e.nt_n / et.
 
 def _chi(spark, folder):
     cnt = facts.counts(spark, folder)
-    return S.chi_squared(cnt, facts.guides(spark, folder), facts.frequent(cnt))
+    return S.chi_squared(cnt, facts.guides(spark, folder), facts.frequent(cnt, facts.FREQUENT_OUTCOMES))
 
 
 @query(_CHI + "select guide, round(chi_squared, 4) as chi_squared from chi")
@@ -419,7 +419,7 @@ select category, subcategory, details, grp, row_number() over (order by grp, len
 def rational_outcome_order(spark, folder):
     order = ["wild type", "donor", "insertion", "deletion", "deletion + insertion", "duplication", "uncategorized", "genomic insertion", "donor misintegration"]
     group = F.coalesce(*[F.when(F.col("category") == name, F.lit(i)) for i, name in enumerate(order)], F.lit(len(order)))
-    rows = facts.frequent(facts.counts(spark, folder)).withColumn("grp", group).withColumn("len", F.coalesce(deletion_length(F.col("details")), F.lit(0)))
+    rows = facts.frequent(facts.counts(spark, folder), facts.FREQUENT_OUTCOMES).withColumn("grp", group).withColumn("len", F.coalesce(deletion_length(F.col("details")), F.lit(0)))
     return rows.select(*OUTCOME, "grp", F.row_number().over(Window.orderBy("grp", "len", *OUTCOME)).cast("long").alias("place"))
 
 
