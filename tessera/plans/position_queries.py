@@ -39,9 +39,15 @@ def _intervals(spark, folder):
     return I.deletion_intervals(facts.counts(spark, folder))
 
 
+def _last(intervals) -> int:
+    """The last position of the target: no deletion reaches beyond."""
+    return max(2 * CUT, intervals.agg(F.max("stop")).first()[0] or 0)
+
+
 @query(_DEL + ", g as (select lib.guide, p as position from lib, unnest(range(90, 151)) as t(p)) select g.guide, cast(g.position as int) as position, cast(coalesce(sum(iv.n), 0) as bigint) as covered from g left join iv on iv.guide = g.guide and iv.start <= g.position and iv.stop >= g.position group by all")
 def coverage_profile(spark, folder):
-    return I.dense_coverage(_intervals(spark, folder), ["guide"], "start", "stop", "n", 90, 150, facts.guides(spark, folder))
+    rows = _intervals(spark, folder)
+    return I.dense_coverage(rows, ["guide"], "start", "stop", "n", 0, _last(rows), facts.guides(spark, folder))
 
 
 @query(
@@ -71,7 +77,8 @@ def fraction_removed_log2_fc(spark, folder):
     cnt = facts.counts(spark, folder)
     guides = facts.guides(spark, folder).select("guide", "is_nt")
     own = C.totals(cnt, ["guide"])
-    cover = I.dense_coverage(I.deletion_intervals(cnt), ["guide"], "start", "stop", "n", 90, 150, guides).join(guides, "guide").join(own, "guide", "left")
+    removed = I.deletion_intervals(cnt)
+    cover = I.dense_coverage(removed, ["guide"], "start", "stop", "n", 0, _last(removed), guides).join(guides, "guide").join(own, "guide", "left")
     nt_total = own.join(guides.filter("is_nt"), "guide", "left_semi").agg(F.sum("total")).first()[0]
     base = cover.filter("is_nt").groupBy("position").agg((F.sum("covered") / F.lit(nt_total)).alias("base"))
     rows = cover.join(base, "position").withColumn("fraction", safe_ratio(F.col("covered"), F.col("total")))
@@ -180,7 +187,7 @@ _SNV = r""", s as (select guide, regexp_extract(details, '(?:^|;)S:(\d+)([ACGTN]
 def mismatch_rates_densified(spark, folder):
     cnt = facts.counts(spark, folder)
     changes = cnt.withColumn("place", O.change_place(F.col("details"))).withColumn("base", O.change_base(F.col("details"))).filter("place is not null")
-    out = I.mismatch_rates(changes, ["guide"], C.totals(cnt, ["guide"]), 110, -15, 15, facts.guides(spark, folder).select("guide"))
+    out = I.mismatch_rates(changes, ["guide"], C.totals(cnt, ["guide"]), 110, -100, 99, facts.guides(spark, folder).select("guide"))
     return out.withColumn("rate", r6("rate"))
 
 
