@@ -33,34 +33,48 @@ def with_lane(lanes: dict[str, DataFrame], cell: str = "cell") -> DataFrame:
     return out
 
 
-def fit_two(x: np.ndarray, rounds: int = 100) -> tuple[float, float, float, float]:
-    """Weight of the upper part, Poisson rate of the lower one, mean and deviation of the upper one, on log2(count + 1)."""
-    rate, mean, sd, w = max(1e-3, float(np.quantile(x, 0.25))), float(x.max()), max(0.3, float(x.std())), 0.5
+def _quantile(x: np.ndarray, cells: np.ndarray, q: float) -> float:
+    """The quantile of ascending values that occur ``cells`` times each, interpolated as by numpy."""
+    at = q * (int(cells.sum()) - 1)
+    low, high = x[np.searchsorted(cells.cumsum(), [math.floor(at), math.ceil(at)], side="right")]
+    return float(low + (high - low) * (at - math.floor(at)))
+
+
+def fit_two(x: np.ndarray, cells: np.ndarray, rounds: int = 100) -> tuple[float, float, float, float]:
+    """Weight of the upper part, Poisson rate of the lower one, mean and deviation of the upper one, on log2(count + 1).
+
+    ``x`` are the distinct values, ascending, and ``cells`` how many cells have each.
+    """
+    whole = float(cells.sum())
+    sd = math.sqrt(float((cells * (x - (cells * x).sum() / whole) ** 2).sum() / whole))
+    rate, mean, sd, w = max(1e-3, _quantile(x, cells, 0.25)), float(x.max()), max(0.3, sd), 0.5
     lg = np.array([math.lgamma(v + 1) for v in x])
     for _ in range(rounds):
         low = np.log(max(1e-12, 1 - w)) + x * math.log(max(rate, 1e-9)) - rate - lg
         high = np.log(max(1e-12, w)) - 0.5 * ((x - mean) / sd) ** 2 - math.log(sd * math.sqrt(2 * math.pi))
         r = 1 / (1 + np.exp(np.clip(low - high, -500, 500)))
-        if r.sum() < 1e-9 or (1 - r).sum() < 1e-9:
+        upper, lower = cells * r, cells * (1 - r)
+        if upper.sum() < 1e-9 or lower.sum() < 1e-9:
             break
-        w, mean = float(r.mean()), float((r * x).sum() / r.sum())
-        sd = max(0.1, math.sqrt(float((r * (x - mean) ** 2).sum() / r.sum())))
-        rate = float(((1 - r) * x).sum() / (1 - r).sum())
+        w, mean = float(upper.sum() / whole), float((upper * x).sum() / upper.sum())
+        sd = max(0.1, math.sqrt(float((upper * (x - mean) ** 2).sum() / upper.sum())))
+        rate = float((lower * x).sum() / lower.sum())
     return w, rate, mean, sd
 
 
-def mixture_calls(counts: DataFrame, cell: str = "cell", feature: str = "feature", n: str = "n", most: int = 2_000_000) -> DataFrame:
+def mixture_calls(counts: DataFrame, cell: str = "cell", feature: str = "feature", n: str = "n") -> DataFrame:
     """``feature, cell, n, is_called, threshold``: cells above the lower part of a mixture of a Poisson and a normal part.
 
-    The fit needs the histogram of a feature only: the counts are binned before
-    they are grouped, so a feature of any number of cells is a small group.
+    The fit needs the histogram of a feature only, its cells as weights: the
+    counts are binned before they are grouped, so a feature of any number of
+    cells is a small group.
     """
     binned = counts.groupBy(feature, n).agg(F.count("*").alias("cells"))
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.log2(np.repeat(rows[n].to_numpy(float), np.minimum(rows["cells"].to_numpy(), most // max(1, len(rows)))) + 1)
-        w, rate, mean, sd = fit_two(x)
-        grid = np.sort(np.unique(x))
+        rows = rows.sort_values(n)
+        grid = np.log2(rows[n].to_numpy(float) + 1)
+        w, rate, mean, sd = fit_two(grid, rows["cells"].to_numpy())
         low = np.array([(1 - w) * math.exp(v * math.log(max(rate, 1e-9)) - rate - math.lgamma(v + 1)) for v in grid])
         high = w * np.exp(-0.5 * ((grid - mean) / sd) ** 2) / (sd * math.sqrt(2 * math.pi))
         above = grid[(high > low) & (grid > rate)]
