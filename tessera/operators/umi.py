@@ -14,7 +14,7 @@ from tessera.session import materialize, release
 
 HIGH, LOW, UNSURE = 31, 10, 2
 COUNTED_QUALITY, SEED_QUALITY = 30, 20
-#: Larger groups are clustered by equal sequence, so that no task holds an unbounded group.
+#: Larger groups are clustered round by round over all tasks until so many reads are left, so that no task holds an unbounded group.
 GROUP_READS = 10_000
 
 
@@ -144,6 +144,63 @@ def cluster_reads(seqs: list[str], quals: list[str], allowed: int = 0) -> list[t
     return out
 
 
+def _mismatches(allowed: int):
+    """Whether a read belongs to a seed, as in ``cluster_reads``."""
+
+    def near(seed: pd.Series, seqs: pd.Series, quals: pd.Series) -> pd.Series:
+        return pd.Series([s == r or sum(1 for a, b, q in zip(s, r, qs) if a != b and ord(q) - 33 >= SEED_QUALITY) <= allowed for s, r, qs in zip(seed, seqs, quals)], dtype=bool)
+
+    return F.pandas_udf(near, "boolean")
+
+
+def consensus_of_groups(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``*by, num_reads, seq, qual``: ``call_consensus`` of every group by aggregates, for groups of any size."""
+    # integers as in call_consensus: a mean is compared as the quotient of the same two sums
+    base = rows.select(*by, F.posexplode(F.split("seq", "")).alias("at", "base"), "qual").filter("base <> ''")
+    base = base.withColumn("base", F.when(F.ascii("base") > 127, "?").otherwise(F.col("base"))).withColumn("q", F.ascii(F.substring(F.col("qual"), F.col("at") + 1, F.lit(1))) - 33).filter("q >= 0")
+    votes = base.groupBy(*by, "at", "base").agg(F.count("*").alias("n"), F.sum((F.col("q") >= COUNTED_QUALITY).cast("long")).alias("sure"), F.sum("q").alias("q"))
+    standing = F.struct("sure", "n", (F.col("q") / F.col("n")).alias("mean"))
+    best = votes.groupBy(*by, "at").agg(F.max(standing).alias("best"), F.collect_list(F.struct(standing.alias("s"), "base")).alias("all"), F.sum("n").alias("have"))
+    picked = best.withColumn("top", F.filter("all", lambda x: x["s"] == F.col("best")))
+    quality = F.when(F.size("top") > 1, UNSURE).when((F.col("best.sure") >= 1) & (F.col("best.n") * 2 > F.col("have")), HIGH).otherwise(LOW)
+    called = picked.select(*by, "at", F.when(F.size("top") > 1, "N").otherwise(F.col("top")[0]["base"]).alias("b"), F.char(quality + 33).alias("q"))
+    joined = called.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("at", "b", "q"))).alias("x"))
+    text = lambda c: F.array_join(F.transform("x", lambda y: y[c]), "")
+    return rows.groupBy(*by).agg(F.count("*").alias("num_reads")).join(joined.select(*by, text("b").alias("seq"), text("q").alias("qual")), by)
+
+
+def cluster_large(rows: DataFrame, by: list[str], allowed: int, group_reads: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Clusters of groups too large for a task, and the reads left when so few are that one task can go on.
+
+    Every round takes the next cluster of each group by the rule of
+    ``cluster_reads``; a round needs what is left only, so the result is the
+    same as in one task.
+    """
+    done = rest = None
+    add = lambda a, b: b if a is None else a.unionByName(b)
+    left = materialize(rows.select(*by, "read_id", "seq", "qual"), "reads-left")
+    while True:
+        sizes = left.groupBy(*by).agg(F.count("*").alias("_size"))
+        if not sizes.filter(F.col("_size") > group_reads).limit(1).count():
+            return done, add(rest, left)
+        sized = left.join(sizes, by)
+        rest = add(rest, sized.filter(F.col("_size") <= group_reads).drop("_size"))
+        large = sized.filter(F.col("_size") > group_reads).drop("_size")
+        counts = large.groupBy(*by, F.col("seq").alias("seed")).agg(F.count("*").alias("n"))
+        first = counts.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), "seed")).alias("m"))
+        twice = first.filter("m.n < -1").select(*by, F.col("m.seed").alias("seed"))
+        once = large.join(first.filter("m.n = -1"), by, "left_semi")
+        seeds = twice.unionByName(consensus_of_groups(once, by).select(*by, F.col("seq").alias("seed")))
+        marked = materialize(large.join(seeds, by).withColumn("near", _mismatches(allowed)("seed", "seq", "qual")).drop("seed"), "reads-near")
+        near = marked.filter("near").drop("near")
+        done = add(done, materialize(consensus_of_groups(near, by).select(*by, "num_reads", "seq", "qual"), "clusters"))
+        far = marked.filter("not near").drop("near")
+        moved = near.select(*by).distinct()
+        stuck = far.join(moved, by, "left_anti").select(*by, F.lit(1).cast("long").alias("num_reads"), "seq", "qual")
+        done = add(done, stuck)
+        left = materialize(far.join(moved, by, "left_semi"), "reads-left")
+
+
 def collapse_reads(reads: DataFrame, by: list[str], read_id: str, seq: str, qual: str, allowed: int = 0, group_reads: int = GROUP_READS) -> DataFrame:
     """``*by, cluster_id, num_reads, seq, qual``: consensus clusters of every molecule.
 
@@ -154,13 +211,16 @@ def collapse_reads(reads: DataFrame, by: list[str], read_id: str, seq: str, qual
     sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
     sized = rows.join(sizes, by)
     single = sized.filter("_n = 1").select(*by, F.lit(0).alias("cluster_id"), F.lit(1).cast("long").alias("num_reads"), "seq", "qual")
-    # an oversized molecule is split by equal sequence
-    part = F.when(F.col("_n") > group_reads, F.xxhash64("seq")).otherwise(F.lit(0).cast("long"))
     types = dict(reads.select(*by).dtypes)
     ddl = ", ".join(f"`{c}` {types[c]}" for c in by) + ", num_reads long, seq string, qual string"
     # a fixed number of partitions: the work in Python is out of proportion to the bytes that adaptive planning sees
     number = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    many = sized.filter("_n > 1").withColumn("_part", part).repartition(number, *by, "_part").sortWithinPartitions(*by, "_part", "read_id").select(*by, "_part", "seq", "qual")
+    small = sized.filter((F.col("_n") > 1) & (F.col("_n") <= group_reads)).select(*by, "read_id", "seq", "qual")
+    large, ended = sized.filter(F.col("_n") > group_reads), None
+    if sizes.filter(F.col("_n") > group_reads).limit(1).count():
+        ended, rest = cluster_large(large, by, allowed, group_reads)
+        small = small.unionByName(rest)
+    many = small.repartition(number, *by).sortWithinPartitions(*by, "read_id").select(*by, "seq", "qual")
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, seqs, quals = None, [], []
@@ -184,5 +244,7 @@ def collapse_reads(reads: DataFrame, by: list[str], read_id: str, seq: str, qual
         yield pd.DataFrame(rows, columns=columns)
 
     clusters = many.mapInPandas(work, ddl)
+    if ended is not None:
+        clusters = clusters.unionByName(ended)
     numbered = clusters.withColumn("cluster_id", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("num_reads"), "seq", "qual")) - 1)
     return single.unionByName(numbered.select(*by, "cluster_id", "num_reads", "seq", "qual"))
