@@ -219,3 +219,68 @@ def null_quantiles(draws: DataFrame, quantiles: list[float], samples: int) -> Da
     up_to = F.sum("f").over(Window.partitionBy("outcome").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("share", up_to / F.lit(samples))
     return rows.groupBy("outcome").agg(*[F.min(F.when(F.col("share") >= q - 1e-12, F.col("n"))).alias(f"q{str(q).replace('.', '_')}") for q in quantiles])
+
+
+#: Sizes and draws of the nulls of the reference.
+NULL_CELLS = [*range(10, 100, 5), *range(100, 1000, 50), *range(1000, 5000, 100), *range(5000, 20000, 1000), *range(20000, 40000, 5000)]
+NULL_SAMPLES = 100_000
+NULL_GROUPS = ("deletion", "insertion", "partial_donor")
+
+
+def null_frequencies(records: DataFrame, cells: list[int], samples: int, seed: int = 1, chunk: int = 500) -> DataFrame:
+    """``cells, outcome, n, f``: in how many of ``samples`` draws of so many control records an outcome, or a group of outcomes, counts ``n`` > 0.
+
+    Every draw takes control guides at random, with replacement, until they
+    hold enough records, and then a random part of these without replacement.
+    ``records`` has ``guide, outcome`` and the ``group`` of the outcome or null.
+    Chunks of draws are spread over tasks and come back as histograms.
+    """
+    table = records.groupBy("guide", "outcome", "group").count().orderBy("guide", "outcome").toPandas()
+    names = sorted(table["outcome"].unique())
+    group_of = dict(zip(table["outcome"], table["group"]))
+    members = [np.array([group_of[o] == g for o in names], bool) for g in NULL_GROUPS]
+    held = table.pivot_table(index="guide", columns="outcome", values="count", fill_value=0).reindex(columns=names).to_numpy(np.int64) if names else np.zeros((0, 0), np.int64)
+    sizes, labels = held.sum(1), [*names, *NULL_GROUPS]
+
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for size, first, last in zip(part["cells"], part["first"], part["last"]):
+                got = np.zeros((last - first, len(labels)), np.int64)
+                rng = np.random.default_rng([seed, int(size), int(first)])
+                for i in range(last - first):
+                    times, n = np.zeros(len(sizes), np.int64), 0
+                    while n < size:
+                        g = rng.integers(len(sizes))
+                        times[g] += 1
+                        n += sizes[g]
+                    got[i, : len(names)] = rng.multivariate_hypergeometric(times @ held, int(size), method="marginals")
+                for k, m in enumerate(members):
+                    got[:, len(names) + k] = got[:, : len(names)][:, m].sum(1)
+                at = np.nonzero(got)
+                keys, f = np.unique(at[1] * (int(size) + 1) + got[at], return_counts=True)
+                yield pd.DataFrame({"cells": int(size), "outcome": [labels[k] for k in keys // (int(size) + 1)], "n": keys % (int(size) + 1), "f": f})
+
+    spark = records.sparkSession
+    work = [(c, a, min(a + chunk, samples)) for c in cells for a in range(0, samples, chunk)] if names else []
+    tasks = spark.createDataFrame(work, "cells long, first long, last long")
+    # large draws take longer: they are spread evenly
+    tasks = tasks.repartition(max(1, min(len(work), 400)), F.xxhash64("cells", "first"))
+    return tasks.mapInPandas(draw, "cells long, outcome string, n long, f long").groupBy("cells", "outcome", "n").agg(F.sum("f").alias("f"))
+
+
+def null_grid_quantiles(frequencies: DataFrame, cells: list[int], samples: int) -> DataFrame:
+    """``cells, outcome, median, down_1, up_1, ...``: quantiles down to 10 ** -k and up to 1 - 10 ** -k from cumulative frequencies.
+
+    Draws without the outcome count 0; the groups and ``not_observed`` have a row for every size.
+    A low quantile is the first count that so many draws do not exceed, a high
+    one the first count that fewer draws reach.
+    """
+    always = frequencies.sparkSession.createDataFrame([(c, o) for c in cells for o in (*NULL_GROUPS, "not_observed")], "cells long, outcome string")
+    seen = frequencies.groupBy("cells", "outcome").agg(F.sum("f").alias("seen"))
+    zero = seen.join(always, ["cells", "outcome"], "full").select("cells", "outcome", F.lit(0).cast("long").alias("n"), (F.lit(samples) - F.coalesce("seen", F.lit(0))).alias("f"))
+    w = Window.partitionBy("cells", "outcome")
+    rows = frequencies.unionByName(zero).withColumn("leq", F.sum("f").over(w.orderBy("n"))).withColumn("geq", F.lit(samples) - F.col("leq") + F.col("f"))
+    low = lambda k: F.min(F.when(F.col("leq") * 10**k >= samples, F.col("n")))
+    high = lambda k: F.max(F.when(F.col("geq") * 10**k >= samples, F.col("n"))) + 1
+    exponents = range(1, int(np.log10(samples)) + 1)
+    return rows.groupBy("cells", "outcome").agg(F.min(F.when(F.col("leq") * 2 >= samples, F.col("n"))).alias("median"), *[c for k in exponents for c in (low(k).alias(f"down_{k}"), high(k).alias(f"up_{k}"))])

@@ -438,6 +438,10 @@ def control_and_median(spark, folder):
 
 @query()
 def null_quantiles(spark, folder):
-    """Quantiles of category counts in 200 draws of 500 control records."""
-    rows = facts.guided(spark, folder).filter("perfect and is_nt").select("guide", F.col("category").alias("outcome"))
-    return S.null_quantiles(materialize(S.resampled_nulls(rows, 500, 200), "draws"), [0.01, 0.5, 0.99], 200)
+    """Quantiles of the counts of every outcome and group in 100,000 draws of control records, for each of 95 sizes."""
+    group = F.when((F.col("category") == "deletion") | ((F.col("category") == "indel") & (F.col("subcategory") == "deletion")), "deletion")
+    group = group.when((F.col("category") == "insertion") | ((F.col("category") == "indel") & (F.col("subcategory") == "insertion")), "insertion")
+    group = group.when((F.col("category") == "no indel") & (F.col("subcategory") == "other"), "partial_donor")
+    rows = facts.guided(spark, folder).filter("perfect and is_nt").select("guide", F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in OUTCOME]).alias("outcome"), group.alias("group"))
+    frequencies = materialize(S.null_frequencies(rows, S.NULL_CELLS, S.NULL_SAMPLES), "nulls")
+    return S.null_grid_quantiles(frequencies, S.NULL_CELLS, S.NULL_SAMPLES)
