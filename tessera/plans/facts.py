@@ -11,7 +11,7 @@ from tessera.operators.library import guide_dimension
 from tessera.session import materialize
 from tessera.sources.tables import table
 
-#: Number of outcomes that the SQL takes, and the queries on activity and order of outcomes.
+#: Number of outcomes over which the activity of guides is measured.
 FREQUENT_OUTCOMES = 100
 #: Number of outcomes that count as most frequent, as in the reference.
 MOST_FREQUENT_OUTCOMES = 1000
@@ -80,7 +80,7 @@ cnt as (select guide, is_nt, category, subcategory, details, count(*) as n from
 own as (select guide, sum(n) as total from cnt group by guide),
 nt as (select category, subcategory, details, sum(n) as nt_n from cnt where is_nt group by all),
 ntf as (select *, nt_n / (select sum(nt_n) from nt) as nt_fraction from nt),
-top as (select category, subcategory, details, nt_n from nt order by nt_n desc, category, subcategory, details limit {FREQUENT_OUTCOMES}),
+top as (select category, subcategory, details, nt_n from nt order by nt_n desc, category, subcategory, details limit {MOST_FREQUENT_OUTCOMES}),
 dense as (
   select lib.guide, lib.gene, lib.is_nt, lib.is_best_promoter, top.category, top.subcategory, top.details, coalesce(cnt.n, 0) as n, own.total, coalesce(cnt.n, 0) / nullif(own.total, 0) as fraction, coalesce(ntf.nt_fraction, 0) as nt_fraction
   from lib cross join top left join cnt on cnt.guide = lib.guide and cnt.category = top.category and cnt.subcategory = top.subcategory and cnt.details = top.details

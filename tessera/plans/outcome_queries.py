@@ -68,7 +68,11 @@ def outcome_fractions(spark, folder):
     return N.outcome_fractions(facts.counts(spark, folder)).withColumn("fraction", r6("fraction"))
 
 
-@query("select guide, category, subcategory, details, cast(n as bigint) as n, round(fraction, 6) as fraction, round(log2_fc, 6) as log2_fc from fc")
+@query(
+    """, grid as (select lib.guide, o.* from lib cross join (select distinct category, subcategory, details from cnt) o),
+whole as (select grid.*, coalesce(cnt.n, 0) as n, coalesce(cnt.n, 0) / nullif(own.total, 0) as fraction, coalesce(ntf.nt_fraction, 0) as base from grid left join cnt using (guide, category, subcategory, details) left join own using (guide) left join ntf using (category, subcategory, details))
+select guide, category, subcategory, details, cast(n as bigint) as n, round(fraction, 6) as fraction, round(case when fraction is null then null when fraction = 0 and base = 0 then 5.0 when fraction = 0 then -5.0 when base = 0 then 'inf'::double else log2(fraction / base) end, 6) as log2_fc from whole"""
+)
 def log2_fold_changes(spark, folder):
     cnt = facts.counts(spark, folder)
     out = N.log2_fold_changes(cnt, facts.guides(spark, folder).select("guide"), cnt.select(*OUTCOME).distinct())
@@ -184,7 +188,8 @@ def most_frequent_outcomes(spark, folder):
     return facts.frequent(facts.counts(spark, folder))
 
 
-_CHI = """, sel as (select * from dense where not (category = 'wild type' and subcategory = 'clean' and details = 'n/a')),
+_CHI = f""", act as (select category, subcategory, details from top order by nt_n desc, category, subcategory, details limit {facts.FREQUENT_OUTCOMES}),
+sel as (select dense.* from dense join act using (category, subcategory, details) where not (category = 'wild type' and subcategory = 'clean' and details = 'n/a')),
 tot as (select guide, sum(n) as total from sel group by guide having sum(n) > 0),
 e as (select category, subcategory, details, sum(n) as nt_n from sel where is_nt group by all),
 et as (select sum(nt_n) as s from e),
@@ -198,19 +203,19 @@ def _chi(spark, folder):
     return S.chi_squared(cnt, facts.guides(spark, folder), facts.frequent(cnt, facts.FREQUENT_OUTCOMES))
 
 
-@query(_CHI + "select guide, round(chi_squared, 4) as chi_squared from chi")
+@query(_CHI + "select guide, round(chi_squared, 6) as chi_squared from chi")
 def chi_squared_per_guide(spark, folder):
-    return _chi(spark, folder).withColumn("chi_squared", F.round("chi_squared", 4))
+    return _chi(spark, folder).withColumn("chi_squared", F.round("chi_squared", 6))
 
 
-@query(_CHI + "select c.guide, l.gene, round(c.chi_squared, 4) as chi_squared from chi c join lib l on l.guide = c.guide where chi_squared > 0.5 * (select max(chi_squared) from chi join lib on lib.guide = chi.guide where lib.is_nt)")
+@query(_CHI + "select c.guide, l.gene, round(c.chi_squared, 6) as chi_squared from chi c join lib l on l.guide = c.guide where chi_squared > 0.5 * (select max(chi_squared) from chi join lib on lib.guide = chi.guide where lib.is_nt)")
 def active_guides(spark, folder):
-    return S.active_guides(materialize(_chi(spark, folder), "chi"), facts.guides(spark, folder), 0.5).select("guide", "gene", F.round("chi_squared", 4).alias("chi_squared"))
+    return S.active_guides(materialize(_chi(spark, folder), "chi"), facts.guides(spark, folder), 0.5).select("guide", "gene", F.round("chi_squared", 6).alias("chi_squared"))
 
 
-@query(_CHI + "select guide, round(chi_squared, 4) as chi_squared from chi order by round(chi_squared, 6) desc, guide limit 50")
+@query(_CHI + "select guide, round(chi_squared, 6) as chi_squared from chi order by round(chi_squared, 6) desc, guide limit 50")
 def top_active_guides(spark, folder):
-    return _chi(spark, folder).orderBy(F.round("chi_squared", 6).desc(), "guide").limit(50).withColumn("chi_squared", F.round("chi_squared", 4))
+    return _chi(spark, folder).orderBy(F.round("chi_squared", 6).desc(), "guide").limit(50).withColumn("chi_squared", F.round("chi_squared", 6))
 
 
 @query(_CHI + "select l.gene, c.guide, row_number() over (partition by l.gene order by round(c.chi_squared, 6) desc, c.guide) as activity_rank from chi c join lib l on l.guide = c.guide")
@@ -419,7 +424,7 @@ select category, subcategory, details, grp, row_number() over (order by grp, len
 def rational_outcome_order(spark, folder):
     order = ["wild type", "donor", "insertion", "deletion", "deletion + insertion", "duplication", "uncategorized", "genomic insertion", "donor misintegration"]
     group = F.coalesce(*[F.when(F.col("category") == name, F.lit(i)) for i, name in enumerate(order)], F.lit(len(order)))
-    rows = facts.frequent(facts.counts(spark, folder), facts.FREQUENT_OUTCOMES).withColumn("grp", group).withColumn("len", F.coalesce(deletion_length(F.col("details")), F.lit(0)))
+    rows = facts.frequent(facts.counts(spark, folder)).withColumn("grp", group).withColumn("len", F.coalesce(deletion_length(F.col("details")), F.lit(0)))
     return rows.select(*OUTCOME, "grp", F.row_number().over(Window.orderBy("grp", "len", *OUTCOME)).cast("long").alias("place"))
 
 

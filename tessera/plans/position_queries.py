@@ -30,8 +30,9 @@ def query(sql: str | None = None, prefix: str = SQL):
     return add
 
 
-_DEL = r""", del as (select guide, is_nt, n, regexp_extract(details, '(?:^|;)D:(\d+),(\d+)', 1) as s, regexp_extract(details, '(?:^|;)D:(\d+),(\d+)', 2) as l from cnt),
-iv as (select guide, is_nt, n, s::int as start, l::int as length, s::int + l::int - 1 as stop from del where s <> '' and l::int > 0)
+_DEL = rf""", del as (select guide, is_nt, n, regexp_extract(details, '(?:^|;)D:(\d+),(\d+)', 1) as s, regexp_extract(details, '(?:^|;)D:(\d+),(\d+)', 2) as l from cnt),
+iv as (select guide, is_nt, n, s::int as start, l::int as length, s::int + l::int - 1 as stop from del where s <> '' and l::int > 0),
+target as (select greatest({2 * CUT}, coalesce(max(stop), 0)) as last from iv), place as (select unnest(range(0, last + 1)) as position from target)
 """
 
 
@@ -44,7 +45,7 @@ def _last(intervals) -> int:
     return max(2 * CUT, intervals.agg(F.max("stop")).first()[0] or 0)
 
 
-@query(_DEL + ", g as (select lib.guide, p as position from lib, unnest(range(90, 151)) as t(p)) select g.guide, cast(g.position as int) as position, cast(coalesce(sum(iv.n), 0) as bigint) as covered from g left join iv on iv.guide = g.guide and iv.start <= g.position and iv.stop >= g.position group by all")
+@query(_DEL + ", g as (select lib.guide, position from lib cross join place) select g.guide, cast(g.position as int) as position, cast(coalesce(sum(iv.n), 0) as bigint) as covered from g left join iv on iv.guide = g.guide and iv.start <= g.position and iv.stop >= g.position group by all")
 def coverage_profile(spark, folder):
     rows = _intervals(spark, folder)
     return I.dense_coverage(rows, ["guide"], "start", "stop", "n", 0, _last(rows), facts.guides(spark, folder))
@@ -67,8 +68,7 @@ def deletion_edges(spark, folder):
 
 @query(
     _DEL
-    + """, pos as (select p as position from unnest(range(90, 151)) as t(p)),
-c as (select g.guide, pos.position, coalesce(sum(iv.n), 0) as covered from (select guide from lib) g cross join pos left join iv on iv.guide = g.guide and iv.start <= pos.position and iv.stop >= pos.position group by all),
+    + """, c as (select g.guide, place.position, coalesce(sum(iv.n), 0) as covered from (select guide from lib) g cross join place left join iv on iv.guide = g.guide and iv.start <= place.position and iv.stop >= place.position group by all),
 f as (select c.guide, c.position, covered / nullif(own.total, 0) as fraction from c left join own on own.guide = c.guide),
 b as (select c.position, sum(covered) / (select sum(total) from own join lib using (guide) where is_nt) as base from c join lib on lib.guide = c.guide where lib.is_nt group by c.position)
 select f.guide, cast(f.position as int) as position, round(log2(nullif(fraction / nullif(base, 0), 0)), 6) as log2_fc from f join b on b.position = f.position"""
@@ -183,7 +183,7 @@ _SNV = r""", s as (select guide, regexp_extract(details, '(?:^|;)S:(\d+)([ACGTN]
 """
 
 
-@query(_SNV + ", r as (select guide, place - 110 as o, base, sum(n) as n from sn group by all) select lib.guide, cast(o.o as int) as \"offset\", bs.base, round(coalesce(r.n, 0) / own.total, 6) as rate from lib cross join unnest(range(-15, 16)) as o(o) cross join (values ('T'), ('C'), ('A'), ('G')) as bs(base) left join r on r.guide = lib.guide and r.o = o.o and r.base = bs.base left join own on own.guide = lib.guide")
+@query(_SNV + ", r as (select guide, place - 110 as o, base, sum(n) as n from sn group by all) select lib.guide, cast(o.o as int) as \"offset\", bs.base, round(coalesce(r.n, 0) / own.total, 6) as rate from lib cross join unnest(range(-100, 100)) as o(o) cross join (values ('T'), ('C'), ('A'), ('G')) as bs(base) left join r on r.guide = lib.guide and r.o = o.o and r.base = bs.base left join own on own.guide = lib.guide")
 def mismatch_rates_densified(spark, folder):
     cnt = facts.counts(spark, folder)
     changes = cnt.withColumn("place", O.change_place(F.col("details"))).withColumn("base", O.change_base(F.col("details"))).filter("place is not null")
