@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.folding import fold_dna
-from tessera.llm.clusters import similar_pairs, typical_members
+from tessera.llm.clusters import clusters_of_groups, similar_pairs, typical_members
 from tessera.llm.heavy_items import exact_counts, frequent_items
 from tessera.llm.leakage import leaked_items
 from tessera.llm.near_duplicates import group_pairs, molecule_groups
@@ -14,7 +14,6 @@ from tessera.llm.neighbours import nearest_vectors
 from tessera.llm.packing import fill_report, pack_texts, rule_tokens, vocabulary_tokens
 from tessera.llm.residue import template_residue
 from tessera.llm.survivors import surviving_reads
-from tessera.operators.components import connected_components
 from tessera.session import materialize
 from tessera.sources.tables import table
 
@@ -35,10 +34,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Every cluster with its size and its most typical profiles."""
     pairs, vectors, model = similar_pairs(table(spark, folder, "guide_profiles"), "profile_id", "log2_fold_changes", PROFILE_PLACES)
-    members = connected_components(pairs, "a", "b", "clusters")
     if model is None:
-        return members.select(F.col("component").alias("cluster_id"), F.lit(0).cast("long").alias("size"), F.array(F.col("node")).alias("typical")).limit(0)
-    return typical_members(members, vectors, model, PROFILE_PLACES)
+        return vectors.select(F.col("id").alias("cluster_id"), F.lit(0).cast("long").alias("size"), F.array("id").alias("typical")).limit(0)
+    return typical_members(clusters_of_groups(pairs, vectors, model, PROFILE_PLACES), vectors, model, PROFILE_PLACES)
 
 
 def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:

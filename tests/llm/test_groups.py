@@ -176,11 +176,11 @@ def brute_profiles(rows, width, threshold=0.8):
     return out
 
 
-@pytest.mark.parametrize("cell_rows,tile_rows", [(500, 2048), (8, 5)])
-def test_similar_pairs(spark, cell_rows, tile_rows):
+@pytest.mark.parametrize("cell_rows,tile_rows,split_rows", [(500, 2048, 2048), (8, 5, 2048), (8, 2048, 12)])
+def test_similar_pairs(spark, cell_rows, tile_rows, split_rows):
     rows = profiles()
     df = spark.createDataFrame(rows, "id long, v array<float>, bucket string, cell int")
-    found, vectors, model = clusters.similar_pairs(df, "id", "v", 16, cell_rows=cell_rows, tile_rows=tile_rows)
+    found, vectors, model = clusters.similar_pairs(df, "id", "v", 16, cell_rows=cell_rows, tile_rows=tile_rows, split_rows=split_rows)
     want = brute_profiles(rows, 16)
     got = pairs(found)
     assert len(got) == len(set(got)) and set(got) <= set(want)
@@ -193,10 +193,53 @@ def test_typical_members(spark):
     near = [[float(x) for x in centre + rng.normal(scale=s, size=16)] for s in (0.001, 0.2, 0.25, 0.3)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(near)], "id long, v array<double>")
     found, vectors, model = clusters.similar_pairs(df, "id", "v", 16)
-    out = clusters.typical_members(connected_components(found, "a", "b"), vectors, model, 16, top=2).collect()
+    out = clusters.typical_members(clusters.clusters_of_groups(found, vectors, model, 16), vectors, model, 16, top=2).collect()
     assert len(out) == 1 and out[0]["size"] == 4 and out[0].cluster_id == 0 and len(out[0].typical) == 2 and out[0].typical[0] == 0
 
 
+def test_chained_groups_are_parted_by_the_criterion(spark):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=16), rng.normal(size=16)
+    ends = [(i, [float(x) for x in (a if i < 100 else b) + rng.normal(scale=0.02, size=16)]) for i in range(200)]
+    # a chain of mixed profiles links both ends
+    bridge = [(200 + i, [float(x) for x in a * (1 - t) + b * t]) for i, t in enumerate(np.linspace(0.1, 0.9, 17))]
+    df = spark.createDataFrame(ends + bridge, "id long, v array<double>")
+    found, vectors, model = clusters.similar_pairs(df, "id", "v", 16)
+    assert connected_components(found, "a", "b").select("component").distinct().count() == 1
+    got = dict(pairs(clusters.clusters_of_groups(found, vectors, model, 16, sample=150, salt_rows=60)))
+    # the ends are parted, and each has few components
+    first, second = {got[i] for i in range(100)}, {got[i] for i in range(100, 200)}
+    assert len(got) == 217 and not first & second and len(first) <= 3 and len(second) <= 3
+
+
+def test_bound_misses_no_similar_pair():
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(40, 16)), 5, 0) + rng.normal(scale=0.5, size=(200, 16))
+    x[rng.random(x.shape) < 0.25] = np.nan
+    rows = clusters._Rows(x)
+    i, j = np.meshgrid(np.arange(100), np.arange(100, 200), indexing="ij")
+    r = clusters.exact_correlations(rows, i.ravel(), j.ravel()).reshape(100, 100)
+    for k, l in zip(*np.nonzero(r > 0.5)):
+        both = ~np.isnan(x[k]) & ~np.isnan(x[l + 100])
+        assert r[k, l] == pytest.approx(np.corrcoef(x[k, both], x[l + 100, both])[0, 1])
+    least = clusters.least_products(rows, 0, 100, 100, 200, 0.8)
+    assert ((rows.fast[:100] @ rows.fast[100:].T >= least) | ~(r >= 0.8)).all() and (r >= 0.8).any()
+
+
+def test_large_cells_are_split(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(300, 16)))]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    vectors = clusters.clean_vectors(df, "id", "v", 16)
+    model = clusters.fit_cells(vectors, 16, 300, cell_rows=150)
+    placed = vectors.mapInArrow(clusters._place(model, 16, 4.0), clusters._PLACED)
+    parts = clusters.split_cells(placed, 16, model.axes, 4.0, split_rows=40, most=8)
+    homes = parts.filter("home").groupBy("cell").count().collect()
+    # every record has one home, and no home is large
+    assert sum(r[1] for r in homes) == 300 and max(r[1] for r in homes) <= 80
+    assert parts.filter("home").select("id").distinct().count() == 300
+
+
 def test_no_profiles(spark):
     found, _, model = clusters.similar_pairs(spark.createDataFrame([(1, None)], "id long, v array<float>"), "id", "v", 16)
     assert found.count() == 0 and model is None
