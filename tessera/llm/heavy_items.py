@@ -31,7 +31,7 @@ _DDL = "field string, kind string, tab int, slot int, item long, votes long, fla
 
 
 def _slots(items: np.ndarray, salt: int, size: int) -> np.ndarray:
-    x = items.astype(np.uint64) + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
+    x = items.astype(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return ((x ^ (x >> np.uint64(31))) % np.uint64(size)).astype(np.int64)

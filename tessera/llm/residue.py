@@ -50,7 +50,7 @@ PLACEHOLDERS = {
 }
 # the reply of a document that is about such things: fixed words of reports, manuals and quotations
 ABOUT = (
-    r"stands? for|placeholders?|naming (?:scheme|rule|convention)|replace[sd]? (?:\S+ ){0,4}by|is (?:now )?called|(?:are|is|was|were) written|can write|may write|still in it|filled (?:it|them) in|as the manual says|the (?:manual|syntax|pattern|regex|mask|"
+    r"stands? for|placeholders?|naming (?:scheme|rule|convention)|replace[sd]? (?:\S+ ){0,4}by|is (?:now )?called|(?:are|is|was|were) written|can write|may write|filled (?:it|them) in|the (?:manual|syntax|pattern|regex|mask|"
     r"notation|variable|column|field|expression|format|tag|message|notice|warning|string|error message|macro|option|token)s? (?:\S+ ){0,2}?$|was used to trim|used to contain|we removed|has been tested|for example|e\.g\.|such as|means?\b|expands? to|renders?|substitut|docs?\b|documentation|tutorial|syntax|escaped? as|regular expression|"
     r"whenever|we fixed|was fixed|fixed the|reports? load|the cause|the rerun|asked what|we told|a user|the export|the loader|the parser|the script\b"
 )
@@ -59,12 +59,12 @@ MESSAGES = {
     "status_line": r"(?:error|http(?:/\d(?:\.\d)?)?(?: status)?|status|fehler|erreur|error de servidor|código|code)\s*:?\s*[-–]?\s*[45]\d\d\b(?!\s*,\d)\s*(?:[:–—-]|$|[A-Z][a-z]+|\()",
     "status_first": r"[45]\d\d\s*[:–—-]?\s*(?:forbidden|not found|bad gateway|bad request|unauthorized|internal server error|service (?:temporarily )?unavailable|gateway time-?out|gone|method not allowed|too many requests|page not found|error)\b",
     "status_name": r"(?:internal server error|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|page not found|file not found|404 not found)\s*[.!]?\s*$",
-    "not_found": r"we looked everywhere\b|(?:oops|sorry|uh oh|whoops)\b.{0,60}(?:page|link|address|record|doesn.t exist|does not exist|went wrong|cannot be found|could not be found)|(?:the )?(?:requested )?(?:page|url|address|resource|document|file) (?:you (?:requested|are looking for|were looking for|asked for)|/\S+ |requested )?.{0,40}(?:could not be (?:found|served|loaded)|cannot be found|was not found(?: on this server)?|does not exist|no longer exists|has (?:been )?(?:moved|removed))|no results\. the record you asked for|the requested url\b|the record you asked for",
+    "not_found": r"we looked everywhere\b|(?:oops|sorry|uh oh|whoops)\b.{0,60}(?:page|link|address|record|doesn.t exist|does not exist|went wrong|cannot be found|could not be found)|(?:the )?(?:requested )?(?:page|url|address|resource|document|file) (?:you (?:requested|are looking for|were looking for|asked for)|/\S+ |requested )?.{0,40}(?:could not be (?:found|served|loaded)|cannot be found|was not found(?: on this server)?|does not exist|no longer exists|has (?:been )?(?:moved|removed))|(?:the )?(?:item|entry|record|article|content|link|report) (?:that )?you (?:requested|asked for|are looking for|were looking for|tried to (?:open|reach)|followed)\b.{0,40}(?:found|exists?(?:ed)?|withdrawn|moved|removed|deleted|expired|(?:no longer |not |un)available)|the requested url\b",
     "not_found_other": r"seite (?:wurde )?nicht gefunden|(?:die )?(?:angeforderte )?seite (?:existiert|konnte) nicht|p[áa]gina no encontrada|la p[áa]gina (?:solicitada )?no (?:existe|se encuentra|se ha encontrado)|page (?:introuvable|non trouvée)|la page (?:demandée )?(?:est introuvable|n.existe (?:pas|plus))|zugriff verweigert|acc[eè]s (?:refusé|interdit)|acceso denegado|der dienst ist zurzeit|le service est (?:momentanément |temporairement )?indisponible|(?:el )?servicio no (?:est[áa] )?disponible|error interno del servidor|erreur interne|interner serverfehler",
     "denied": r"access (?:is |was )?denied\b|you (?:do not|don.t) have (?:the )?permission|permission denied\b|request blocked\b|your (?:request|access|ip)(?: address)? (?:has been|was) (?:blocked|denied)|unusual traffic\b|too many requests|you have been blocked",
     "human_check": r"(?:checking|verifying|verify|please verify|confirm|please confirm)(?: that)? you are (?:a )?human|checking your browser|ddos protection by|please complete the (?:security check|captcha)|one more step\b.{0,40}captcha",
     "session": r"your session (?:has )?(?:expired|timed out)|sign in again to continue|please (?:log|sign) in (?:again )?to (?:continue|view)|you (?:must|need to) (?:log|sign) in\b",
-    "server": r"something went wrong\b|an? (?:unexpected|unknown|internal) error (?:has )?occurred|(?:could not|cannot|unable to|failed to) connect to (?:the )?(?:database|server|host)|error establishing a database connection|database (?:connection )?error|connection (?:refused|timed out|reset)|(?:this|the) (?:site|page|service|server) is (?:currently |temporarily )?(?:unavailable|down|offline|under maintenance)|we(?:.re| are) (?:currently )?(?:down|offline) for maintenance|(?:scheduled )?maintenance in progress|we.ll be back soon|(?:please )?go back or try again later|please try again later|the team has been informed",
+    "server": r"something went wrong\b|an? (?:unexpected|unknown|internal) error (?:has )?occurred|(?:could not|cannot|unable to|failed to) connect to (?:the )?(?:database|server|host)|error establishing a database connection|database (?:connection )?error|connection (?:refused|timed out|reset)|(?:this|the) (?:site|page|service|server) is (?:currently |temporarily )?(?:unavailable|down|offline|under maintenance)|we(?:.re| are) (?:currently )?(?:down|offline) for maintenance|(?:scheduled )?maintenance in progress|we.ll be back soon|(?:please )?go back or try again later|please try again later|(?:our|the) (?:team|engineers|administrators?|support staff) (?:has|have) been (?:automatically )?(?:notified|alerted)",
     "stack": r"traceback \(most recent call last\)|(?:fatal error|parse error|warning|notice|uncaught \w*error|uncaught exception|unhandled exception|segmentation fault)\s*:\s*(?:allowed memory|uncaught|syntax error|undefined|call to|cannot|maximum execution|include|require|mysql|unexpected|out of memory|core dumped)|(?:[a-z]+\.){2,}\w*(?:exception|error)\b|at (?:[\w$]+\.)+[\w$<>]+\([\w$]+\.java:\d+\)|\w+(?:error|exception): .{0,80}$|file \"[^\"\n]+\", line \d+, in \w+|stack trace:|allowed memory size of",
     "scripts": r"(?:please )?(?:enable|activate|turn on|switch on|allow)\s+(?:javascript|scripts?|cookies and javascript)\b|(?:javascript|scripts?|cookies and javascript)\s+(?:is|are|must(?: both)? be|seems? to be|has to be|have to be|needs? to be|appears? to be)\s+(?:currently )?(?:required|disabled|enabled|on|turned (?:on|off)|switched (?:on|off)|off|blocked|needed|necessary)|(?:this|the) (?:app|application|site|page|website|viewer|browser|tool|content|form|explorer)\b.{0,30} (?:requires?|needs?|runs only with|works only with|relies on|depends on)\s+(?:javascript|scripts?)|we.re sorry but .{1,60} (?:doesn.t|does not) work (?:properly )?without javascript|you need to (?:enable|allow|activate|turn on|switch on) (?:javascript|scripts?)|(?:your )?browser (?:does not|doesn.t) (?:support|allow|run) (?:javascript|scripts?)|your browser is blocking (?:the )?scripts|browser has (?:javascript|scripts?) (?:disabled|turned off)|loading\s*\.{2,}\s*if nothing happens|if nothing happens, your browser",
     "scripts_other": r"(?:bitte )?aktivieren sie (?:bitte )?(?:javascript|skripte)|bitte (?:schalten sie )?javascript|(?:diese|die) (?:anwendung|seite|website|app)\b.{0,20} (?:benötigt|erfordert|braucht|verlangt) (?:aktivierte |aktiviertes )?(?:skripte|javascript)|javascript (?:ist|muss|wird) (?:deaktiviert|aktiviert|benötigt|eingeschaltet)|(?:veuillez |merci d.)?activer (?:javascript|les scripts)|cette (?:page|application|site)\b.{0,20} (?:nécessite|requiert|exige|a besoin de) (?:javascript|les scripts|des scripts)|javascript (?:est|doit être) (?:désactivé|activé|requis|nécessaire)|active javascript|(?:por favor,? )?(?:active|habilite|activa|habilita) (?:javascript|los scripts)|(?:esta|la) (?:página|aplicación|web)\b.{0,20} (?:requiere|necesita) (?:javascript|scripts)|javascript (?:está|debe estar) (?:desactivado|activado|habilitado)|(?:necesita|debe) (?:activar|habilitar) javascript",
@@ -73,8 +73,8 @@ MESSAGES = {
     "filler": r"(?:this is )?(?:sample|dummy|filler|placeholder|example|demo|test) (?:text|paragraph|copy|content)\b(?!.{0,30}\b(?:was|were|has|had)\b).{0,80}(?:\breplace\b|layout|will (?:come|follow|be)|goes here|only\b|here\b|$)|(?:body copy|headline|caption|title|subtitle|text|content|copy|description|summary|abstract|your \w+) goes here|replace (?:this|me) (?:with|by) (?:your|the|a)\b|(?:click|tap) to (?:add|edit|enter|insert) (?:text|title|notes?|subtitle|content|caption)|start typing here|type (?:your text|something) here|(?:write|enter|put|type|add) your [\w ]{1,30} (?:in this box|here|below)\b|delete this (?:line|text|paragraph|section) (?:when|before|after|once)|insert (?:your )?(?:text|content|description) here|this (?:page|section|paragraph) (?:is )?intentionally left blank|text (?:to be )?(?:to )?follow(?:s)?\.?$|(?:content|text|page) coming soon",
     "filler_other": r"texto de relleno|aqu[ií] va (?:el|la|su|tu)\b|texto de (?:ejemplo|prueba|muestra)|faux[- ]texte|texte (?:de remplissage|d.exemple|factice)|remplacez ce (?:paragraphe|texte)|votre texte ici|(?:hier steht ein |dies ist ein )?blindtext\b|platzhaltertext|(?:dies ist ein )?(?:beispiel|muster|füll)text\b|hier (?:steht|kommt) (?:ihr|der|ein) (?:text|blindtext|inhalt)|ersetzen sie diesen (?:text|absatz)",
 }
-LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco ullam laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum quorum vestra labitur posuit hactis vel nonum fugio".split())
-CORE_LATIN = frozenset("lorem ipsum dolor amet consectetur adipiscing aliqua ullam ullamco eiusmod incididunt veniam nostrud quorum labitur posuit".split())
+LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco ullam laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
+CORE_LATIN = frozenset("lorem ipsum dolor amet consectetur adipiscing aliqua ullam ullamco eiusmod incididunt veniam nostrud".split())
 FUNCTION_WORDS = frozenset("the a an of to and was were is are it we i you they he she that this these with for from by on at as has have had be been but not or which after before der die das und ist war wurden wurde nicht mit auf von zu den dem ein eine le la les des du une un est été pour dans sur avec que el los las del y es fue fueron con por para una se lo".split())
 
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS.values()), re.I)
@@ -125,7 +125,7 @@ def _is_about(unit: str, spans: list[tuple[int, int]]) -> bool:
     rest = unit
     for a, b in sorted(spans, reverse=True):
         rest = rest[:a] + " " + rest[b:]
-    return bool(_ABOUT.search(rest))
+    return bool(_ABOUT.search(" ".join(rest.split())))
 
 
 def _pseudo_latin(words: list[str]) -> bool:

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import heavy_items, leakage, packing, residue
+from tessera.llm.literals import fold
 from tessera.session import materialize
 
 # -- frequent items ------------------------------------------------------------------
@@ -254,6 +255,12 @@ CASES = [
     ("Use it like this:\n```\nprint(f\"{{name}} ${x}\")\n```\nand run.", None),
     ("The placeholder plasmid carries no guide and serves as a filler for the lane.", None),
     ("ACAC ACAC ACAC ACAC ACAC ACAC", None),
+    ("foo,foo,foo,foo,foo,foo", "filler"),
+    ("Blah, blah. Blah; blah, BLAH! blah", "filler"),
+    ("The entry you were looking for has been deleted.", "error"),
+    ("Our engineers have been notified.", "error"),
+    ("The record you asked for is attached, with the counts.", None),
+    ("The loader replaces  <%= date %>  and {{ name }}  by the values of the sheet.", None),
 ]
 
 
@@ -271,5 +278,12 @@ def test_residue_in_long_texts(spark):
 
 def test_hints_cover_all_cases():
     for text, kind in CASES:
-        if kind and kind != "filler":
-            assert any(h in text.lower() for h in residue.HINTS)
+        if kind:
+            assert any(h in fold(text) for h in residue.HINTS) or residue._repeats(fold(text))
+
+
+def test_all_is_found_without_hints(monkeypatch):
+    with_hints = [residue.residue_kind(text) for text, _ in CASES]
+    monkeypatch.setattr(residue, "_holds", lambda low, hints: True)
+    monkeypatch.setattr(residue, "_repeats", lambda low: True)
+    assert [residue.residue_kind(text) for text, _ in CASES] == with_hints
