@@ -37,6 +37,13 @@ class Graph:
         for l in reversed(range(len(self.layers))):
             self._build(l)
 
+    @classmethod
+    def from_arrays(cls, vectors: np.ndarray, layers: list[np.ndarray], rows: list[np.ndarray]) -> Graph:
+        """A stored graph, ready to be searched."""
+        out = object.__new__(cls)
+        out.x, out.layers, out.rows = vectors, layers, rows
+        return out
+
     # -- building ---------------------------------------------------------
 
     def _build(self, l: int) -> None:

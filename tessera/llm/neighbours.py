@@ -2,11 +2,17 @@
 
 Vectors are spread over shards by their nearest centre of a small k-means model
 (an index fitted on at most ``SAMPLE_ROWS`` vectors; every vector is placed).
-Each shard holds a navigable small-world graph in flat arrays.  Every vector is
-searched in the shards of its ``PROBES`` nearest centres, and the shard results
-are merged.  A centre with too many vectors is spread over several shards, all
-of which are searched.  Exact copies of a vector are one node of the graph and
-are put back afterwards.
+Each shard, one task, builds a hierarchical navigable small-world graph, which
+is stored as flat neighbour arrays in one row of a table.  A vector is searched
+in the shards of all centres that are nearly as similar to it as its best one.
+How nearly is measured: the exact neighbours of ``SAMPLE_QUERIES`` vectors among
+all vectors are looked up, and the margin is the smallest one by which the share
+``ROUTED`` of them lies in a searched shard, so that more centres at more rows
+cost no recall.  The searches of a shard are spread over tasks, each of which
+reads the stored graph, and the shard results are merged.  A centre with too
+many vectors is spread over several shards, all of which are searched.  Exact
+copies of a vector are one node of the graph and are put back afterwards.
+:func:`exact_neighbours` compares a set of vectors with all others.
 """
 
 from __future__ import annotations
@@ -24,8 +30,15 @@ from tessera.session import materialize
 
 SAMPLE_ROWS = 20_000
 SHARD_ROWS = 12_000
-PROBES = 8
+#: Searches of one shard in one task.
+QUERY_ROWS = 12_000
+#: Vectors whose exact neighbours set the margin, and the share of these that must lie in a searched shard.
+SAMPLE_QUERIES, ROUTED = 512, 0.97
+#: Centres that are searched in any case.
+LEAST_PROBES = 4
 MAX_CENTRES = 8192
+#: Partitions of one exchange; beyond it a task takes several shards in turn.
+MOST_PARTITIONS = 20_000
 BEAM = 32
 SALTS = 32
 
@@ -62,44 +75,118 @@ def _centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarra
     return centre
 
 
-def _probe(centre: np.ndarray, width: int, probes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _probe(centre: np.ndarray, width: int, margin: float, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the list ``near`` of the centres within ``margin`` of the best one, the best one first."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                sim = fixed_binary(part.column("vec"), width) @ centre.T
+                order = np.argsort(-sim, axis=1, kind="stable").astype(np.int32)
+                sim = np.take_along_axis(sim, order, 1)
+                chosen = sim >= sim[:, :1] - margin
+                chosen[:, :least] = True
+                offsets = np.concatenate([[0], np.cumsum(chosen.sum(1))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vec"), pa.ListArray.from_arrays(offsets, pa.array(order[chosen]))], names=["id", "vec", "near"])
+
+    return work
+
+
+def _best_of_part(queries: np.ndarray, ids: np.ndarray, width: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ``k`` most similar rows of a partition for every query, with their vectors."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(ids)
+        best, other, vec = np.full((n, k), -2.0, np.float32), np.full((n, k), -1, np.int64), np.zeros((n, k, width), np.float32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x, own = fixed_binary(part.column("vec"), width), part.column("id").to_numpy()
+                sim = queries @ x.T
+                sim[ids[:, None] == own[None, :]] = -2.0
+                top = np.argpartition(-sim, min(k, sim.shape[1]) - 1, axis=1)[:, :k]
+                both = np.concatenate([best, np.take_along_axis(sim, top, 1)], 1)
+                order = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(both, order, 1)
+                other = np.take_along_axis(np.concatenate([other, own[top]], 1), order, 1)
+                vec = np.take_along_axis(np.concatenate([vec, x[top]], 1), order[:, :, None], 1)
+        line, place = np.nonzero(best > -2.0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[line]), pa.array(other[line, place]), pa.array(best[line, place].astype(np.float64)), to_binary(vec[line, place])], names=["id", "other", "cosine", "vec"])
+
+    return work
+
+
+def exact_neighbours(vectors: DataFrame, queries: DataFrame, width: int, k: int) -> DataFrame:
+    """``id, other, cosine, vec``: the ``k`` most similar rows of ``vectors`` for a stated set of at most some thousand queries.
+
+    Every task compares its rows with all queries in blocks and keeps the best;
+    both tables are ``id, vec`` with vectors of length 1.
+    """
+    some = queries.toPandas()
+    x = np.frombuffer(b"".join(some["vec"]), np.float32).reshape(-1, width)
+    parts = vectors.mapInArrow(_best_of_part(x, some["id"].to_numpy(np.int64), width, k), "id long, other long, cosine double, vec binary")
+    return parts.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("_r") <= k).drop("_r")
+
+
+def fit_routing(nodes: DataFrame, centre: np.ndarray, width: int, k: int, queries: int = SAMPLE_QUERIES, routed: float = ROUTED) -> float:
+    """The margin of similarity to a centre by which the share ``routed`` of exact neighbours lies in a searched shard."""
+    asked = nodes.select("id", "vec").orderBy(F.xxhash64("id", F.lit(3)), "id").limit(queries)
+    found = exact_neighbours(nodes.select("id", "vec"), asked, width, k).join(asked.select("id", F.col("vec").alias("query")), "id").select("query", "vec").toPandas()
+    if not len(found):
+        return 0.0
+    q, x = (np.frombuffer(b"".join(found[c]), np.float32).reshape(-1, width) @ centre.T for c in ("query", "vec"))
+    need = np.sort(q.max(1) - q[np.arange(len(q)), x.argmax(1)])
+    return float(need[int(routed * (len(need) - 1))]) + 1e-6
+
+
+_GRAPH = pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("vecs", pa.binary()), ("layers", pa.list_(pa.binary())), ("rows", pa.list_(pa.binary()))])
+_GRAPH_DDL = "shard int, ids binary, vecs binary, layers array<binary>, rows array<binary>"
+
+
+def _build_graphs(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row of flat arrays for every shard; rows come by shard."""
+
+    def graph_row(shard: int, ids: list[np.ndarray], vecs: list[np.ndarray]) -> pa.RecordBatch:
+        graph = Graph(np.concatenate(vecs))
+        row = {"shard": shard, "ids": np.concatenate(ids).astype(np.int64).tobytes(), "vecs": graph.x.tobytes(), "layers": [x.tobytes() for x in graph.layers], "rows": [x.astype(np.int32).tobytes() for x in graph.rows]}
+        return pa.RecordBatch.from_pylist([row], schema=_GRAPH)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = min(probes, len(centre))
+        shard, ids, vecs = None, [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sim = fixed_binary(batch.column("vec"), width) @ centre.T
-            near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sim, near, 1), axis=1, kind="stable"), 1).astype(np.int32)
-            lists = pa.ListArray.from_arrays(np.arange(0, near.size + 1, k, dtype=np.int32), pa.array(near.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), lists], names=["id", "vec", "near"])
+            key = batch.column("shard").to_numpy()
+            for a, b in stretches(key):
+                if key[a] != shard:
+                    if ids:
+                        yield graph_row(int(shard), ids, vecs)
+                    shard, ids, vecs = key[a], [], []
+                ids.append(batch.column("id").to_numpy()[a:b])
+                vecs.append(fixed_binary(batch.column("vec").slice(a, b - a), width))
+        if ids:
+            yield graph_row(int(shard), ids, vecs)
 
     return work
 
 
-def _search_shards(width: int, k: int, beam: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come by shard, those of the index (role 0) before the queries (role 1)."""
+def _search_graphs(width: int, k: int, beam: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come by part of a shard, the stored graph of the shard (``ids`` not null) before its queries."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, vecs, graph, known = None, [], [], None, np.zeros(0, np.int64)
+        graph, known = None, np.zeros(0, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, role = batch.column("shard").to_numpy(), batch.column("role").to_numpy()
-            for a, b in stretches(key * 2 + role):
-                part = batch.slice(a, b - a)
-                if key[a] != shard:
-                    shard, ids, vecs, graph = key[a], [], [], None
-                rows, x = part.column("id").to_numpy(), fixed_binary(part.column("vec"), width)
-                if role[a] == 0:
-                    ids.append(rows)
-                    vecs.append(x)
+            part, stored = batch.column("part").to_numpy(), np.asarray(batch.column("ids").is_valid()).astype(np.int64)
+            for a, b in stretches(part.astype(np.int64) * 2 + stored):
+                if stored[a]:
+                    row = batch.slice(a, 1).to_pylist()[0]
+                    known = np.frombuffer(row["ids"], np.int64)
+                    graph = Graph.from_arrays(np.frombuffer(row["vecs"], np.float32).reshape(-1, width), [np.frombuffer(x, np.int32).reshape(len(known), -1) for x in row["layers"]], [np.frombuffer(x, np.int32) for x in row["rows"]])
                     continue
-                if graph is None:
-                    if not ids:
-                        continue
-                    known, graph = np.concatenate(ids), Graph(np.concatenate(vecs))
-                    vecs = []
+                rows, x = batch.column("id").slice(a, b - a).to_numpy(), fixed_binary(batch.column("vec").slice(a, b - a), width)
                 _, found = graph.search(x, k + 1, beam)
                 line, place = np.nonzero(found >= 0)
                 hit = found[line, place]
@@ -118,11 +205,38 @@ def _first(df: DataFrame, key: str, k: int, *order) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_r") <= k).drop("_p", "_r")
 
 
-def spark_cores(df: DataFrame) -> int:
-    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+def _shards(placed: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
+    """``cell, base, shards``: the numbers of the shards of every centre, and how many there are.
+
+    A centre above twice the usual size has several shards.  There is one row
+    per centre, so at most ``MAX_CENTRES``.
+    """
+    sizes = placed.groupBy(F.col("near")[0].alias("cell")).count().orderBy("cell").toPandas()
+    shards = np.maximum(1, -(-sizes["count"].to_numpy() // (2 * shard_rows)))
+    rows = list(zip(sizes["cell"].tolist(), (np.cumsum(shards) - shards).tolist(), shards.tolist()))
+    return placed.sparkSession.createDataFrame(rows, "cell int, base int, shards int"), int(shards.sum())
+
+
+def search_shards(placed: DataFrame, width: int, k: int, shard_rows: int, beam: int) -> DataFrame:
+    """``id, other, cosine`` from every searched shard, up to ``k + 1`` a shard; ``placed`` is a written table ``id, vec, near``."""
+    cells, n_shards = _shards(placed, shard_rows)
+    home = placed.select("id", "vec", F.col("near")[0].alias("cell")).join(cells, "cell")
+    index = home.select((F.col("base") + F.pmod(F.xxhash64("id"), F.col("shards"))).cast("int").alias("shard"), "id", "vec")
+    graphs = materialize(index.repartitionById(min(n_shards, MOST_PARTITIONS), F.col("shard")).sortWithinPartitions("shard").mapInArrow(_build_graphs(width), _GRAPH_DDL), "graphs")
+    asked = placed.select("id", "vec", F.explode("near").alias("cell")).join(cells, "cell")
+    asked = asked.select("id", "vec", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("shards") - 1)).alias("shard"))
+    # one row per shard: how many tasks share its searches
+    load = asked.groupBy("shard").count().orderBy("shard").toPandas()
+    tasks = np.maximum(1, -(-load["count"].to_numpy() // QUERY_ROWS))
+    spread = placed.sparkSession.createDataFrame(list(zip(load["shard"].tolist(), (np.cumsum(tasks) - tasks).tolist(), tasks.tolist())), "shard int, first int, tasks int")
+    none = F.lit(None)
+    queries = asked.join(spread, "shard").select((F.col("first") + F.pmod(F.xxhash64("id", F.lit(2)), F.col("tasks"))).cast("int").alias("part"), "id", "vec", none.cast("binary").alias("ids"), none.cast("binary").alias("vecs"), none.cast("array<binary>").alias("layers"), none.cast("array<binary>").alias("rows"))
+    stored = graphs.join(spread, "shard").select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("tasks") - 1)).alias("part"), none.cast("long").alias("id"), none.cast("binary").alias("vec"), "ids", "vecs", "layers", "rows")
+    both = stored.unionByName(queries).repartitionById(min(int(tasks.sum()), MOST_PARTITIONS), F.col("part")).sortWithinPartitions("part", F.col("ids").isNull())
+    return both.mapInArrow(_search_graphs(width, k, beam), "id long, other long, cosine double")
 
 
-def nearest_vectors(df: DataFrame, row_id: str, vector: str, width: int, k: int = 5, shard_rows: int = SHARD_ROWS, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
+def nearest_vectors(df: DataFrame, row_id: str, vector: str, width: int, k: int = 5, shard_rows: int = SHARD_ROWS, margin: float | None = None, least: int = LEAST_PROBES, beam: int = BEAM) -> DataFrame:
     """``id, other, cosine``: the ``k`` vectors most similar to every vector by cosine, ties by the smaller id.
 
     Null lists, lists of another length, all-zero lists and null ids have no
@@ -138,16 +252,10 @@ def nearest_vectors(df: DataFrame, row_id: str, vector: str, width: int, k: int
     sample = nodes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("vec").toPandas()["vec"]
     x = np.frombuffer(b"".join(sample), np.float32).reshape(-1, width)
     centre = _centres(x, max(1, min(MAX_CENTRES, -(-n // shard_rows))))
-    placed = nodes.select("id", "vec").mapInArrow(_probe(centre, width, probes), "id long, vec binary, near array<int>")
-    home = placed.select("id", "vec", F.col("near")[0].alias("cell"))
-    # a cell above twice the usual size is spread over several shards
-    parts = home.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(2 * shard_rows))).cast("int").alias("parts"))
-    index = home.join(parts, "cell").select("id", "vec", (F.col("cell").cast("long") * 65536 + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("shard"), F.lit(0).alias("role"))
-    asked = placed.select("id", "vec", F.explode("near").alias("cell")).join(parts, "cell")
-    query = asked.select("id", "vec", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cell").select("id", "vec", (F.col("cell").cast("long") * 65536 + F.col("part")).alias("shard"), F.lit(1).alias("role"))
-    # a fixed number, since small partitions that are put together by size would hold several searches each
-    both = index.unionByName(query).repartition(min(10_000, max(n // shard_rows * 3, spark_cores(df))), "shard").sortWithinPartitions("shard", "role")
-    found = both.mapInArrow(_search_shards(width, k, beam), "id long, other long, cosine double")
+    # with few centres all are searched anyway
+    margin = 0.0 if margin is None and len(centre) <= least else fit_routing(nodes, centre, width, k) if margin is None else margin
+    placed = materialize(nodes.select("id", "vec").mapInArrow(_probe(centre, width, margin, least), "id long, vec binary, near array<int>"), "placed")
+    found = search_shards(placed, width, k, shard_rows, beam)
     near = found.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("_r") <= k).drop("_r")
     copies = nodes.filter("n > 1")
     if not copies.limit(1).count():

@@ -326,6 +326,35 @@ def test_nearest_vectors(spark, shard_rows):
     assert recall > (0.995 if shard_rows > n else 0.9)
 
 
+def test_stored_graph_is_searched_alike():
+    x = vectors(500)
+    graph = hnsw.Graph(x / np.linalg.norm(x, axis=1, keepdims=True))
+    again = hnsw.Graph.from_arrays(graph.x, graph.layers, [r.astype(np.int32) for r in graph.rows])
+    assert all((a == b).all() for a, b in zip(graph.search(graph.x, 6), again.search(graph.x, 6)))
+
+
+def test_exact_neighbours(spark):
+    x = vectors(300)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<float>")
+    unit = neighbours.unit_vectors(df, "id", "v", 24)
+    got = {}
+    for r in neighbours.exact_neighbours(unit, unit.filter("id % 3 = 0"), 24, 5).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    want = brute_neighbours([(i, [float(v) for v in row]) for i, row in enumerate(x)], 24)
+    assert set(got) == set(range(0, 300, 3)) and np.mean([len(got[i] & want[i]) / 5 for i in got]) > 0.99
+
+
+def test_routing_keeps_recall_with_many_centres(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 12))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = {}
+    for r in neighbours.nearest_vectors(spark.createDataFrame(rows, "id long, v array<float>"), "id", "v", 12, shard_rows=30).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    want = brute_neighbours(rows, 12)
+    assert np.mean([len(got[i] & want[i]) / 5 for i in want]) >= 0.9
+
+
 def test_copies_of_a_vector(spark):
     rng = np.random.default_rng(8)
     hot, near = rng.normal(size=24), rng.normal(size=24)
