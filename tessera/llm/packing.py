@@ -1,8 +1,9 @@
 """Texts of varying length in containers of fixed capacity.
 
 Sizes are tokens.  A text above the capacity is cut into full pieces and a
-rest; all else stays whole.  Documents are spread by a hash into groups of
-bounded size, and each group is packed by itself: items above one third of the
+rest; all else stays whole.  The rows are numbered, written and spread by a hash
+of their number into groups of bounded size, so that rows with one id are spread
+like all others, and each group is packed by itself: items above one third of the
 capacity are matched greedily, at most two to a container, the largest one with
 the largest partner that still fits; the smaller ones then go, in order of size,
 to the container with the smallest gap that holds them.  Groups share no
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 CAPACITY = 1024
 GROUP_ROWS = 50_000
 #: A run of ASCII letters and digits, or any other character except space, tab, CR and LF.
@@ -128,10 +131,11 @@ def pack_texts(df: DataFrame, row_id: str, tokens: Column, capacity: int = CAPAC
     piece of 0 tokens.  Every row is an item, also with a null or repeated id.
     An empty table gives no row.
     """
-    items = df.select(F.col(row_id).cast("long").alias("doc_id"), tokens.alias("n_tokens"))
-    groups = max(1, -(-df.count() // group_rows))
-    spread = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(groups)).cast("int")
-    return items.withColumn("grp", spread).groupBy("grp").applyInPandas(_pack(capacity), "container_id long, doc_id long, piece int, start_token long, n_tokens long")
+    # the numbers are written once, so that a task that runs again finds the same ones
+    items = materialize(df.select(F.monotonically_increasing_id().alias("line"), F.col(row_id).cast("long").alias("doc_id"), tokens.alias("n_tokens")), "items")
+    groups = max(1, -(-items.count() // group_rows))
+    spread = F.pmod(F.xxhash64("line"), F.lit(groups)).cast("int")
+    return items.select("doc_id", "n_tokens", spread.alias("grp")).groupBy("grp").applyInPandas(_pack(capacity), "container_id long, doc_id long, piece int, start_token long, n_tokens long")
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -139,3 +143,21 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     loads = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("load"))
     whole = loads.agg(F.count("*").alias("containers"), F.sum("load").alias("tokens"), F.max("load").alias("largest"))
     return whole.withColumn("filled", F.when(F.col("containers") > 0, F.col("tokens") / (F.col("containers") * F.lit(capacity))))
+
+
+def whole_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row of what any right packing fulfils: texts, tokens, overfull containers, texts cut in vain, gaps between pieces.
+
+    Ids must be unique for this.  ``texts_over`` counts the texts with more than
+    one piece.
+    """
+    over = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("load")).agg(F.coalesce(F.sum((F.col("load") > capacity).cast("long")), F.lit(0)).alias("overfull"))
+    per = packed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
+    texts = per.agg(
+        F.count("*").alias("texts"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum((F.col("pieces") > 1).cast("long")), F.lit(0)).alias("texts_over"),
+        F.coalesce(F.sum(((F.col("pieces") > 1) & (F.col("tokens") <= capacity)).cast("long")), F.lit(0)).alias("cut_in_vain"),
+        F.coalesce(F.sum((F.col("tokens") != F.col("end")).cast("long")), F.lit(0)).alias("with_gaps"),
+    )
+    return texts.join(over, F.lit(True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tessera.llm.heavy_items import exact_counts, frequent_items
 from tessera.llm.leakage import leaked_items
 from tessera.llm.near_duplicates import group_pairs, molecule_groups
 from tessera.llm.neighbours import nearest_vectors
-from tessera.llm.packing import fill_report, pack_texts, rule_tokens, vocabulary_tokens
+from tessera.llm.packing import fill_report, pack_texts, rule_tokens, vocabulary_tokens, whole_report
 from tessera.llm.residue import template_residue
 from tessera.llm.survivors import surviving_reads
 from tessera.session import materialize
@@ -23,7 +25,8 @@ VECTOR_PLACES = 96
 NEIGHBOURS = 5
 LEAST_COSINE = 0.75
 CAPACITY = 1024
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: File of the public tokenizer, the same on every executor.
+TOKENIZER = os.environ.get("TESSERA_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,6 +64,11 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(p8_containers(spark, folder), CAPACITY)
 
 
+def p8_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the containers hold every text whole, and none too much."""
+    return whole_report(materialize(p8_containers(spark, folder), "packed"), CAPACITY)
+
+
 def p8_fill_vocabulary(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """The same with the tokens of a public tokenizer."""
     return fill_report(pack_texts(table(spark, folder, "documents"), "doc_id", vocabulary_tokens(F.col("text"), tokenizer), CAPACITY), CAPACITY)
@@ -119,7 +127,7 @@ def p6_bounds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_whole": p8_whole,
     "p8_fill_vocabulary": p8_fill_vocabulary, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_residue": p10_residue, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_bounds": p6_bounds, "p7_found": p7_found}
 
 _ITEMS = """
@@ -136,6 +144,8 @@ _WORDS = r"list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-
 
 ORACLE: dict[str, str] = {
     "p8_found": r"select doc_id from documents where len(regexp_extract_all(text, '[A-Za-z0-9]+|[^ \t\r\n]')) > 1024",
+    "p8_whole": r"""with t as (select doc_id, coalesce(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^ \t\r\n]')), 0) as n from documents)
+select count(*) as texts, cast(sum(n) as bigint) as tokens, count(*) filter (n > 1024) as texts_over, 0 as cut_in_vain, 0 as with_gaps, 0 as overfull from t""",
     "p9_found": f"""
 with i as (select item_id, {_WORDS} as w from eval_items), d as (select doc_id, {_WORDS} as w from documents),
 ig as (select distinct item_id, array_to_string(w[k:k+11], ' ') as g from i, unnest(range(1, len(w) - 10)) as t(k)),

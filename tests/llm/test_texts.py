@@ -214,6 +214,23 @@ def test_nothing_to_leak(spark):
     assert leakage.leaked_items(d, i).count() == 0
 
 
+def test_rows_of_one_id_are_spread(spark):
+    df = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), (F.col("id") % 50).alias("n"), F.lit(1).alias("grp"))
+    got = packing.pack_texts(df, "doc_id", F.col("n"), 100, group_rows=500)
+    groups = [r[0] for r in got.groupBy(F.shiftright("container_id", 32)).agg(F.count("*").alias("n")).select("n").collect()]
+    assert len(groups) == 6 and sum(groups) == 3000 and max(groups) < 700
+    loads = [r[0] for r in got.groupBy("container_id").agg(F.sum("n_tokens")).select("sum(n_tokens)").collect()]
+    assert max(loads) <= 100 and sum(loads) == sum(i % 50 for i in range(3000)) and sum(loads) >= 0.97 * 100 * len(loads)
+
+
+def test_whole_report(spark):
+    df = spark.createDataFrame([(1, 250), (2, 100), (3, 40), (4, 0)], "doc_id long, n long")
+    packed = packing.pack_texts(df, "doc_id", F.col("n"), 100)
+    assert packing.whole_report(packed, 100).first().asDict() == {"texts": 4, "tokens": 390, "texts_over": 1, "cut_in_vain": 0, "with_gaps": 0, "overfull": 0}
+    broken = packed.withColumn("n_tokens", F.when(F.col("doc_id") == 3, 140).otherwise(F.col("n_tokens")))
+    assert packing.whole_report(broken, 100).first()["overfull"] == 1
+
+
 # -- template residue --------------------------------------------------------------------------
 
 CASES = [
