@@ -6,7 +6,9 @@ large blocks.  A block row carries the payload and the entries of its members:
 path, segment, offset, length, number of records and checksum.  A file of any
 size is held as segments of at most one block, so neither a task nor a block
 grows with it.  Readers prune to the entries to look a file up, and read blocks
-in parallel.
+in parallel.  The tasks that pack are as many as the bytes ask for.
+
+:func:`pack_stored_files` packs files of a file system as they are, byte by byte.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +29,10 @@ from tessera.session import materialize
 
 #: Target bytes of a block's payload before Parquet compression.
 BLOCK_BYTES = 64 << 20
+#: Bytes of records that one task packs.
+TASK_BYTES = 64 << 20
+#: Bytes of a JSON line besides the text columns, per column: name, quotes, a number or a time.
+COLUMN_BYTES = 40
 #: A list of repeated records is broadcast up to this many rows (about 60 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -136,7 +142,16 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in piece.split(b"\n")[:-1]], pa.string())], ["line"])
 
 
-def pack_files(rows: DataFrame, group: str, number: str, record_id: str, order: list[str], block_bytes: int = BLOCK_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> Archive:
+def stored_bytes(rows: DataFrame) -> int:
+    """About the bytes of the JSON lines of all rows, from one pass over the lengths of the text columns."""
+    texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
+    size = F.lit(COLUMN_BYTES * len(rows.columns)).cast("long")
+    for c in texts:
+        size = size + F.coalesce(F.octet_length(f"`{c}`"), F.lit(0))
+    return int(rows.agg(F.sum(size)).first()[0] or 0)
+
+
+def pack_files(rows: DataFrame, group: str, number: str, record_id: str, order: list[str], block_bytes: int = BLOCK_BYTES, broadcast_rows: int = BROADCAST_ROWS, task_bytes: int = TASK_BYTES) -> Archive:
     """Pack ``rows`` into containers that hold every record exactly once.
 
     A record is a ``record_id``.  Of a repeated record the row that comes first
@@ -159,7 +174,10 @@ def pack_files(rows: DataFrame, group: str, number: str, record_id: str, order:
     joined = base.join(F.broadcast(repeated) if small else repeated, "rid", "left")
     kept = joined.filter(F.col("k_content").isNull() | (F.col("k_grp").eqNullSafe(F.col("grp")) & F.col("k_num").eqNullSafe(F.col("num")) & (F.col("k_content") == F.col("content"))))
     record = F.coalesce(F.col("rid").cast("string"), F.concat(F.lit("="), F.col("content").cast("string")))
-    ranged = kept.select("grp", "num", record.alias("record"), F.col("k_content").isNotNull().cast("int").alias("repeated"), "line").repartitionByRange("grp", "num", "record").sortWithinPartitions("grp", "num", "record")
+    ranged = kept.select("grp", "num", record.alias("record"), F.col("k_content").isNotNull().cast("int").alias("repeated"), "line")
+    # a stated number of partitions is not put together again by size
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-stored_bytes(rows) // task_bytes))
+    ranged = ranged.repartitionByRange(tasks, "grp", "num", "record").sortWithinPartitions("grp", "num", "record")
     blocks = materialize(ranged.mapInArrow(_packer(block_bytes), _BLOCK_DDL), "archive")
     keys = slim.select("grp", "num", "rid")
     again = keys.join(F.broadcast(repeated.select("rid")) if small else repeated.select("rid"), "rid", "left_semi").groupBy("grp", "num", "rid").agg((F.count("*") - 1).alias("extra"))
@@ -169,6 +187,73 @@ def pack_files(rows: DataFrame, group: str, number: str, record_id: str, order:
     return Archive(blocks, files, schema)
 
 
+_STORED_MEMBER = pa.struct([("path", pa.string()), ("segment", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("crc32", pa.int64())])
+_STORED = pa.schema([("block_id", pa.string()), ("n_bytes", pa.int64()), ("members", pa.list_(_STORED_MEMBER)), ("payload", pa.binary())])
+_STORED_DDL = "block_id string, n_bytes long, members array<struct<path:string,segment:int,offset:bigint,length:bigint,crc32:bigint>>, payload binary"
+
+
+def _byte_packer(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, blocks = TaskContext.get().partitionId(), 0
+        payload, members = bytearray(), []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal payload, members, blocks
+            row = {"block_id": f"{part:06d}-{blocks:06d}", "n_bytes": len(payload), "members": members, "payload": bytes(payload)}
+            payload, members, blocks = bytearray(), [], blocks + 1
+            return pa.RecordBatch.from_pylist([row], schema=_STORED)
+
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                data, segment, at = memoryview(content.as_buffer()), 0, 0
+                while at < len(data) or segment == 0:
+                    if len(payload) >= block_bytes:
+                        yield flush()
+                    piece = data[at : at + block_bytes - len(payload)]
+                    members.append({"path": path.as_py(), "segment": segment, "offset": len(payload), "length": len(piece), "crc32": zlib.crc32(piece)})
+                    payload += piece
+                    at, segment = at + len(piece), segment + 1
+        if members:
+            yield flush()
+
+    return pack
+
+
+def pack_stored_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Written blocks ``block_id, n_bytes, members, payload`` with the original bytes of all files that ``path`` names, globs included.
+
+    A file is held once, as one or more segments with path, offset, length and
+    checksum.  The reader does not list files without bytes, which have nothing to
+    hold.  A folder without files gives no block.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+    size = files.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-int(size) // task_bytes))
+    ranged = files.select("path", "content").repartitionByRange(tasks, "path").sortWithinPartitions("path")
+    return materialize(ranged.mapInArrow(_byte_packer(block_bytes), _STORED_DDL), "stored-files")
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            for m in row["members"]:
+                piece = row["payload"][m["offset"] : m["offset"] + m["length"]]
+                if zlib.crc32(piece) != m["crc32"]:
+                    raise ValueError(f"checksum of {m['path']} in block {row['block_id']} does not match")
+                yield pa.RecordBatch.from_arrays([pa.array([m["path"]]), pa.array([m["segment"]], pa.int32()), pa.array([piece], pa.binary())], ["path", "segment", "content"])
+
+
+def stored_segments(blocks: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """``path, segment, content`` of packed files, after every checksum was compared; only blocks that hold one of ``paths`` are read if these are given."""
+    if paths is not None:
+        wanted = blocks.select("block_id", F.explode("members.path").alias("path")).join(paths.select("path"), "path", "left_semi").select("block_id").distinct()
+        blocks = blocks.join(wanted, "block_id", "left_semi")
+    out = blocks.mapInArrow(_checked, "path string, segment int, content binary")
+    return out if paths is None else out.join(paths.select("path"), "path", "left_semi")
+
+
 def file_report(archive: Archive, listing: DataFrame, group: str, number: str, declared: str) -> DataFrame:
     """Every file of the store or the listing, and whether it can be carried over as it is.
 

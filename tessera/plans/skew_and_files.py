@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.folding import fold_name
-from tessera.operators.compaction import file_report, pack_files
+from tessera.operators.compaction import file_report, pack_files, pack_stored_files, stored_segments
 from tessera.operators.skew import heavy_keys, totals_per_key
 from tessera.sources.tables import table
 
@@ -43,7 +43,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return _report(spark, folder).filter("not as_is").select(F.col("grp").alias("quartet_name"), F.col("num").alias("chunk_number"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_guide_totals": p4_guide_totals, "p5_found": p5_found, "p5_file_report": p5_file_report}
+def p5_stored_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of the folder, packed as they are and read back: bytes and checksum of each one."""
+    parts = stored_segments(pack_stored_files(spark, folder, BLOCK_BYTES))
+    name = F.element_at(F.split("path", "/"), -1)
+    return parts.groupBy(name.alias("file_name")).agg(F.sum(F.length("content")).alias("n_bytes"), F.count("*").alias("n_segments"), F.min(F.crc32("content")).alias("least_crc32"))
+
+
+QUERIES = {"p5_stored_files": p5_stored_files, "p4_found": p4_found, "p4_guide_totals": p4_guide_totals, "p5_found": p5_found, "p5_file_report": p5_file_report}
 
 _RECORDS = """
 with recs as (

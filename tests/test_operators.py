@@ -407,3 +407,28 @@ def test_file_report(spark):
 def test_empty_store(spark):
     archive = compaction.pack_files(spark.createDataFrame([], STORE), "quartet", "chunk", "id", ["at"])
     assert archive.blocks.count() == 0 and archive.records().count() == 0 and archive.manifest().count() == 0
+
+
+@pytest.mark.parametrize("block", [1 << 20, 100, 7])
+def test_stored_files_come_back_byte_by_byte(spark, tmp_path, block):
+    want = {f"f{i:02d}": bytes((i * 37 + j) % 256 for j in range([0, 1, 5, 250, 30][i % 5])) for i in range(12)}
+    for name, data in want.items():
+        (tmp_path / name).write_bytes(data)
+    blocks = compaction.pack_stored_files(spark, str(tmp_path), block, task_bytes=400)
+    assert max(len(r.payload) for r in blocks.collect()) <= block
+    got = {}
+    for r in sorted(compaction.stored_segments(blocks).collect(), key=lambda r: (r.path, r.segment)):
+        got[r.path.split("/")[-1]] = got.get(r.path.split("/")[-1], b"") + bytes(r.content)
+    assert got == {k: v for k, v in want.items() if v}
+    one = blocks.select(F.explode("members.path").alias("path")).filter("path like '%f03'").distinct()
+    assert b"".join(bytes(r.content) for r in sorted(compaction.stored_segments(blocks, one).collect(), key=lambda r: r.segment)) == want["f03"]
+    broken = blocks.withColumn("payload", F.concat(F.lit("X"), F.col("payload")).cast("binary"))
+    with pytest.raises(Exception, match="checksum"):
+        compaction.stored_segments(broken).collect()
+
+
+def test_tasks_follow_the_bytes(spark):
+    rows = spark.range(1000).select("id", F.lit("Q").alias("quartet"), F.lit(1).alias("chunk"), F.repeat(F.lit("x"), 500).alias("text"), F.current_timestamp().alias("at"))
+    archive = compaction.pack_files(rows, "quartet", "chunk", "id", ["at"], task_bytes=50_000)
+    tasks = [r[0] for r in archive.blocks.groupBy(F.substring("block_id", 1, 6)).agg(F.sum("n_bytes").alias("n")).select("n").collect()]
+    assert len(tasks) >= 8 and max(tasks) < 200_000 and archive.records().count() == 1000
