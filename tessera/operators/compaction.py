@@ -29,8 +29,8 @@ from tessera.session import materialize
 
 #: Target bytes of a block's payload before Parquet compression.
 BLOCK_BYTES = 64 << 20
-#: Bytes of records that one task packs.
-TASK_BYTES = 64 << 20
+#: Bytes of records that one task packs, so that it sorts in memory; a task writes one file of blocks.
+TASK_BYTES = 24 << 20
 #: Bytes of a JSON line besides the text columns, per column: name, quotes, a number or a time.
 COLUMN_BYTES = 40
 #: A list of repeated records is broadcast up to this many rows (about 60 bytes each); beyond it the join shuffles.
