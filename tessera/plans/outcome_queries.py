@@ -441,12 +441,16 @@ def control_and_median(spark, folder):
     return _guide_stats(spark, folder).agg(F.max(F.when(F.col("is_nt"), F.struct("denominator", "guide")))["guide"].alias("largest_control"), F.median("denominator").alias("median_umis"))
 
 
+#: Draws of each size in the registered query; the operator takes any number, README has the time of the whole job.
+NULL_DRAWS = 1_000
+
+
 @query()
 def null_quantiles(spark, folder):
-    """Quantiles of the counts of every outcome and group in 100,000 draws of control records, for each of 95 sizes."""
+    """Quantiles of the counts of every outcome and group in draws of control records, for each of 95 sizes."""
     group = F.when((F.col("category") == "deletion") | ((F.col("category") == "indel") & (F.col("subcategory") == "deletion")), "deletion")
     group = group.when((F.col("category") == "insertion") | ((F.col("category") == "indel") & (F.col("subcategory") == "insertion")), "insertion")
     group = group.when((F.col("category") == "no indel") & (F.col("subcategory") == "other"), "partial_donor")
     rows = facts.guided(spark, folder).filter("perfect and is_nt").select("guide", F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in OUTCOME]).alias("outcome"), group.alias("group"))
-    frequencies = materialize(S.null_frequencies(rows, S.NULL_CELLS, S.NULL_SAMPLES), "nulls")
-    return S.null_grid_quantiles(frequencies, S.NULL_CELLS, S.NULL_SAMPLES)
+    frequencies = materialize(S.null_frequencies(rows, S.NULL_CELLS, NULL_DRAWS), "nulls")
+    return S.null_grid_quantiles(frequencies, S.NULL_CELLS, NULL_DRAWS)

@@ -17,8 +17,15 @@ from tessera.session import materialize
 from tessera.sources.tables import table
 
 OUTCOME = C.OUTCOME
-TOP_GUIDES, TOP_OUTCOMES = 60, 40
 r6 = lambda c: F.round(c, 6)
+r4 = lambda c: F.round(c, 4)
+
+
+def zero(expression: str, digits: int) -> str:
+    """SQL that rounds and has no negative zero."""
+    return f"(case when abs({expression}) < {0.5 * 10**-digits} then 0.0 else round({expression}, {digits}) end)"
+
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -33,70 +40,67 @@ def query(sql: str | None = None, prefix: str = SQL):
     return add
 
 
-# the guides with most records, and the outcomes most frequent among the controls
-_SEL = f""", g as (select guide from own order by total desc, guide limit {TOP_GUIDES}), o as (select category, subcategory, details from nt order by nt_n desc, category, subcategory, details limit {TOP_OUTCOMES}),
-m as (select g.guide, o.category, o.subcategory, o.details, coalesce(cnt.n, 0) / own.total as x from g cross join o join own on own.guide = g.guide left join cnt on cnt.guide = g.guide and cnt.category = o.category and cnt.subcategory = o.subcategory and cnt.details = o.details)
+# log2 fold changes of all guides with records over the most frequent outcomes
+_SEL = """, m as (select guide, category || '|' || subcategory || '|' || details as outcome, dense_rank() over (order by guide) as gi, dense_rank() over (order by category, subcategory, details) as oi, log2_fc as x from fc where total > 0)
+"""
+# the pairs by number, which is much faster than by name
+_COR = _SEL + f""", v as (select gi, any_value(guide) as guide, max(x) > min(x) as varies from m group by gi),
+pn as (select a.gi as i, b.gi as j, corr(a.x, b.x) as r, sum(a.x * b.x) / sqrt(nullif(sum(a.x * a.x) * sum(b.x * b.x), 0)) as cosine, 1 / (1 + sqrt(sum((a.x - b.x) * (a.x - b.x)))) as euclidean from m a join m b on a.oi = b.oi and a.gi < b.gi group by all),
+pr as (select va.guide as a, vb.guide as b, case when va.varies and vb.varies then {zero("pn.r", 4)} end as r, cosine, euclidean from pn join v va on va.gi = i join v vb on vb.gi = j)
 """
 
 
 def _matrix(spark, folder):
-    """Fractions of the frequent outcomes for the guides with most records."""
+    """log2 fold changes of the most frequent outcomes for all guides with records."""
     cnt = facts.counts(spark, folder)
-    chosen = C.totals(cnt, ["guide"]).orderBy(F.desc("total"), "guide").limit(TOP_GUIDES).select("guide")
-    rows = N.dense_fractions(cnt, chosen, facts.frequent(cnt, TOP_OUTCOMES))
-    return materialize(rows.select("guide", *OUTCOME, F.col("fraction").alias("x")), "matrix")
-
+    rows = N.log2_fold_changes(cnt, facts.guides(spark, folder).select("guide"), facts.frequent(cnt)).filter("total > 0")
+    return materialize(rows.select("guide", *OUTCOME, F.col("log2_fc").alias("x")), "matrix")
 
-_COR = _SEL + ", pr as (select a.guide as a, b.guide as b, case when stddev_samp(a.x) > 0 and stddev_samp(b.x) > 0 then corr(a.x, b.x) end as r from m a join m b using (category, subcategory, details) where a.guide < b.guide group by all)\n"
 
-
-@query(_COR + "select a, b, round(r, 6) as r from pr")
+@query(_COR + "select a, b, round(r, 4) as r from pr")
 def guide_pair_correlation(spark, folder):
-    return R.correlations(_matrix(spark, folder), "guide", OUTCOME, "x").withColumn("r", r6("r"))
+    return R.correlations(_matrix(spark, folder), "guide", OUTCOME, "x").withColumn("r", r4("r"))
 
 
 @query(
     _SEL
-    + ", k as (select category || '|' || subcategory || '|' || details as item, guide, x from m) select a.item as a, b.item as b, round(case when stddev_samp(a.x) > 0 and stddev_samp(b.x) > 0 then corr(a.x, b.x) end, 6) as r from k a join k b using (guide) where a.item < b.item group by all"
+    + f""", w as (select oi, any_value(outcome) as outcome, max(x) > min(x) as varies from m group by oi), pn as (select a.oi as i, b.oi as j, corr(a.x, b.x) as r from m a join m b on a.gi = b.gi and a.oi < b.oi group by all)
+select least(x.outcome, y.outcome) as a, greatest(x.outcome, y.outcome) as b, case when x.varies and y.varies then {zero("r", 4)} end as r from pn join w x on x.oi = i join w y on y.oi = j"""
 )
 def outcome_pair_correlation(spark, folder):
     rows = _matrix(spark, folder).select(F.concat_ws("|", *OUTCOME).alias("item"), "guide", "x")
-    return R.correlations(rows, "item", ["guide"], "x").withColumn("r", r6("r"))
+    return R.correlations(rows, "item", ["guide"], "x").withColumn("r", r4("r"))
 
 
-@query(
-    _SEL
-    + """select a.guide as a, b.guide as b, round(case when stddev_samp(a.x) > 0 and stddev_samp(b.x) > 0 then corr(a.x, b.x) end, 6) as correlation, round(sum(a.x * b.x) / sqrt(nullif(sum(a.x * a.x) * sum(b.x * b.x), 0)), 6) as cosine, round(1 / (1 + sqrt(sum((a.x - b.x) * (a.x - b.x)))), 6) as euclidean
-from m a join m b using (category, subcategory, details) where a.guide < b.guide group by all"""
-)
+@query(_COR + "select a, b, round(r, 4) as correlation, round(cosine, 4) as cosine, round(euclidean, 4) as euclidean from pr")
 def guide_similarities(spark, folder):
     out = R.similarities(_matrix(spark, folder), "guide", OUTCOME, "x")
-    return out.select("a", "b", *[r6(c).alias(c) for c in ("correlation", "cosine", "euclidean")])
+    return out.select("a", "b", *[r4(c).alias(c) for c in ("correlation", "cosine", "euclidean")])
 
 
-@query(_COR + "select least(x.gene, y.gene) as gene_a, greatest(x.gene, y.gene) as gene_b, round(max(r), 6) as highest from pr join lib x on x.guide = a join lib y on y.guide = b group by all")
+@query(_COR + "select least(x.gene, y.gene) as gene_a, greatest(x.gene, y.gene) as gene_b, round(max(r), 4) as highest from pr join lib x on x.guide = a join lib y on y.guide = b group by all")
 def max_gene_pair_correlation(spark, folder):
     pairs = R.correlations(_matrix(spark, folder), "guide", OUTCOME, "x")
-    return R.best_gene_pairs(pairs, facts.guides(spark, folder)).withColumn("highest", r6("highest"))
+    return R.best_gene_pairs(pairs, facts.guides(spark, folder)).withColumn("highest", r4("highest"))
 
 
-@query(_COR + ", b2 as (select a, b, r from pr where r is not null union all select b, a, r from pr where r is not null), k as (select a, b, round(r, 6) as r, row_number() over (partition by a order by round(r, 6) desc, b) as rank_high, row_number() over (partition by a order by round(r, 6), b) as rank_low from b2) select * from k where rank_high <= 5 or rank_low <= 5")
+@query(_COR + ", b2 as (select a, b, r from pr where r is not null union all select b, a, r from pr where r is not null), k as (select a, b, round(r, 4) as r, row_number() over (partition by a order by round(r, 4) desc, b) as rank_high, row_number() over (partition by a order by round(r, 4), b) as rank_low from b2) select * from k where rank_high <= 5 or rank_low <= 5")
 def ranked_partners(spark, folder):
-    pairs = materialize(R.correlations(_matrix(spark, folder), "guide", OUTCOME, "x").withColumn("r", r6("r")), "pairs")
+    pairs = materialize(R.correlations(_matrix(spark, folder), "guide", OUTCOME, "x").withColumn("r", r4("r")), "pairs")
     return R.ranked_partners(pairs, "r", 5).select("a", "b", "r", F.col("rank_high").cast("long").alias("rank_high"), F.col("rank_low").cast("long").alias("rank_low"))
 
 
-@query(_COR + ", l as (select round(r, 6) as r, x.gene = y.gene as same_gene from pr join lib x on x.guide = a join lib y on y.guide = b where r between -1 and 1), h as (select same_gene, cast(least(floor((r + 1) / (2::double / 30)), 29) as int) as bin, count(*) as n from l group by all) select same_gene, bin, n, round(n / (sum(n) over (partition by same_gene) * (2::double / 30)), 6) as density from h")
+@query(_COR + ", l as (select round(r, 4) as r, x.gene = y.gene as same_gene from pr join lib x on x.guide = a join lib y on y.guide = b where r between -1 and 1), h as (select same_gene, cast(least(floor((r + 1) / (2::double / 30)), 29) as int) as bin, count(*) as n from l group by all) select same_gene, bin, n, round(n / (sum(n) over (partition by same_gene) * (2::double / 30)), 6) as density from h")
 def same_gene_histogram(spark, folder):
     g = facts.guides(spark, folder).select("guide", "gene")
     pairs = R.correlations(_matrix(spark, folder), "guide", OUTCOME, "x").join(g.select(F.col("guide").alias("a"), F.col("gene").alias("ga")), "a").join(g.select(F.col("guide").alias("b"), F.col("gene").alias("gb")), "b")
-    return R.histogram(pairs.withColumn("same_gene", F.col("ga") == F.col("gb")).withColumn("r", r6("r")), ["same_gene"], "r", -1.0, 1.0, 30).withColumn("density", r6("density"))
+    return R.histogram(pairs.withColumn("same_gene", F.col("ga") == F.col("gb")).withColumn("r", r4("r")), ["same_gene"], "r", -1.0, 1.0, 30).withColumn("density", r6("density"))
 
 
-# -- replicates: the two sites with most records --------------------------------
+# -- replicates: all guides of two sites --------------------------------
 
-_REP = f""", pc as (select pool, guide, category, count(*) as n from gr where perfect and pool in ('A', 'B') group by all), pt as (select pool, guide, sum(n) as total from pc group by all),
-sel as (select guide from pt group by guide having count(*) = 2 order by sum(total) desc, guide limit {TOP_GUIDES}), cats as (select distinct category from pc),
+_REP = """, pc as (select pool, guide, category, count(*) as n from gr where perfect and pool in ('A', 'B') group by all), pt as (select pool, guide, sum(n) as total from pc group by all),
+sel as (select guide from pt group by guide having count(*) = 2), cats as (select distinct category from pc),
 rm as (select case p.pool when 'A' then 0 else 1 end as rep, s.guide, c.category, coalesce(pc.n, 0) / pt.total as x from (values ('A'), ('B')) as p(pool) cross join sel s cross join cats c join pt on pt.pool = p.pool and pt.guide = s.guide left join pc on pc.pool = p.pool and pc.guide = s.guide and pc.category = c.category)
 """
 
@@ -104,7 +108,7 @@ rm as (select case p.pool when 'A' then 0 else 1 end as rep, s.guide, c.category
 def _replicates(spark, folder):
     pc = materialize(facts.guided(spark, folder).filter("perfect and pool in ('A', 'B')").groupBy("pool", "guide", "category").agg(F.count("*").alias("n")), "replicate-counts")
     pt = C.totals(pc, ["pool", "guide"])
-    chosen = pt.groupBy("guide").agg(F.count("*").alias("k"), F.sum("total").alias("t")).filter("k = 2").orderBy(F.desc("t"), "guide").limit(TOP_GUIDES).select("guide")
+    chosen = pt.groupBy("guide").agg(F.count("*").alias("k")).filter("k = 2").select("guide")
     grid = pt.join(chosen, "guide", "left_semi").join(pc.select("category").distinct(), F.lit(True))
     rows = grid.join(pc, ["pool", "guide", "category"], "left").withColumn("x", F.coalesce("n", F.lit(0)) / F.col("total"))
     return materialize(rows.select(F.when(F.col("pool") == "A", 0).otherwise(1).alias("rep"), "guide", "category", "x"), "replicates")
@@ -115,20 +119,20 @@ def replicate_mean_std(spark, folder):
     return _replicates(spark, folder).groupBy("guide", "category").agg(r6(F.avg("x")).alias("mean"), r6(F.stddev_samp("x")).alias("std"))
 
 
-@query(_REP + "select category, round(case when stddev_samp(a.x) > 0 and stddev_samp(b.x) > 0 then corr(a.x, b.x) end, 6) as r from rm a join rm b using (guide, category) where a.rep = 0 and b.rep = 1 group by category")
+@query(_REP + "select category, case when stddev_samp(a.x) > 0 and stddev_samp(b.x) > 0 then " + zero("corr(a.x, b.x)", 6) + " end as r from rm a join rm b using (guide, category) where a.rep = 0 and b.rep = 1 group by category")
 def replicate_outcome_r(spark, folder):
     return R.item_replicate_r(_replicates(spark, folder), "category", ["guide"], "rep", "x").withColumn("r", r6("r"))
 
 
-@query(_REP + "select guide, round(case when stddev_samp(a.x) > 0 and stddev_samp(b.x) > 0 then corr(a.x, b.x) end, 6) as r from rm a join rm b using (guide, category) where a.rep = 0 and b.rep = 1 group by guide")
+@query(_REP + "select guide, case when stddev_samp(a.x) > 0 and stddev_samp(b.x) > 0 then " + zero("corr(a.x, b.x)", 6) + " end as r from rm a join rm b using (guide, category) where a.rep = 0 and b.rep = 1 group by guide")
 def replicate_guide_r(spark, folder):
     return R.item_replicate_r(_replicates(spark, folder), "guide", ["category"], "rep", "x").withColumn("r", r6("r"))
 
 
 @query(
     _REP
-    + """select 'replicate_' || a.rep as part, a.category as a, b.category as b, round(case when stddev_samp(a.x) > 0 and stddev_samp(b.x) > 0 then corr(a.x, b.x) end, 6) as r from rm a join rm b using (guide, rep) where a.category < b.category group by all
-union all select 'between', category, category, round(case when stddev_samp(a.x) > 0 and stddev_samp(b.x) > 0 then corr(a.x, b.x) end, 6) from rm a join rm b using (guide, category) where a.rep = 0 and b.rep = 1 group by category"""
+    + """select 'replicate_' || a.rep as part, a.category as a, b.category as b, case when stddev_samp(a.x) > 0 and stddev_samp(b.x) > 0 then """ + zero("corr(a.x, b.x)", 6) + """ end as r from rm a join rm b using (guide, rep) where a.category < b.category group by all
+union all select 'between', category, category, case when stddev_samp(a.x) > 0 and stddev_samp(b.x) > 0 then """ + zero("corr(a.x, b.x)", 6) + """ end from rm a join rm b using (guide, category) where a.rep = 0 and b.rep = 1 group by category"""
 )
 def replicate_r_matrix(spark, folder):
     return R.replicate_correlations(_replicates(spark, folder), "category", ["guide"], "rep", "x").select("part", "a", "b", r6("r").alias("r"))
@@ -137,19 +141,23 @@ def replicate_r_matrix(spark, folder):
 @query("select guide, category, subcategory, details, cast(sum(n) as bigint) as n from (select pool, guide, category, subcategory, details, count(*) as n from kr where perfect group by all) group by guide, category, subcategory, details")
 def merged_pools(spark, folder):
     per_pool = materialize(C.outcome_counts(facts.guided(spark, folder).filter("perfect"), ["pool", "guide"]), "pools")
-    return C.merge_pools(*[per_pool.filter(F.col("pool") == p).drop("pool") for p in ("A", "B", "C")])
+    pools = sorted(r.pool for r in per_pool.select("pool").distinct().collect())
+    return C.merge_pools(*[per_pool.filter(F.col("pool") == p).drop("pool") for p in pools])
 
 
-@query("select guide from gr where pool = 'A' intersect select guide from gr where pool = 'B'")
+@query("select guide from gr group by guide having count(distinct pool) = (select count(distinct pool) from gr)")
 def common_guides(spark, folder):
-    rows = facts.guided(spark, folder)
-    return rows.filter("pool = 'A'").select("guide").intersect(rows.filter("pool = 'B'").select("guide"))
+    rows = materialize(facts.guided(spark, folder).select("pool", "guide").distinct(), "pool-guides")
+    pools = sorted(r.pool for r in rows.select("pool").distinct().collect())
+    common = rows.filter(F.col("pool") == pools[0]).select("guide") if pools else rows.select("guide")
+    for p in pools[1:]:
+        common = common.intersect(rows.filter(F.col("pool") == p).select("guide"))
+    return common
 
 
-@query("select distinct category, subcategory, details from kr where pool in ('A', 'B')")
+@query("select distinct category, subcategory, details from kr")
 def outcome_union(spark, folder):
-    rows = C.collapse_categories(facts.guided(spark, folder))
-    return rows.filter("pool = 'A'").select(*OUTCOME).union(rows.filter("pool = 'B'").select(*OUTCOME)).distinct()
+    return C.collapse_categories(facts.guided(spark, folder)).select(*OUTCOME).distinct()
 
 
 @query("select distinct category from gr where pool = 'A' except select category from gr where pool = 'C' and category in ('deletion', 'insertion')")
@@ -186,11 +194,12 @@ def multi_pool_guides(spark, folder):
     return C.ranked(a, ["gene"], [F.asc("mean_place"), F.asc("guide")], "r").filter("r <= 3").select("guide", "gene", "active", r6("mean_place").alias("mean_place"))
 
 
-@query(_POOLCHI + "select distinct guide from rk where place <= 40 and pool in ('A', 'B') and guide in (select guide from pt where pool = 'A' intersect select guide from pt where pool = 'B')")
+@query(_POOLCHI + "select distinct guide from rk where place <= 40 and guide in (select guide from pt group by guide having count(*) = (select count(distinct pool) from pt))")
 def union_of_top_guides(spark, folder):
-    rows = materialize(_pool_chi(spark, folder).filter("pool in ('A', 'B')"), "pool-chi")
-    both = rows.groupBy("guide").agg(F.countDistinct("pool").alias("k")).filter("k = 2").select("guide")
-    return rows.filter("place <= 40").select("guide").distinct().join(both, "guide", "left_semi")
+    rows = materialize(_pool_chi(spark, folder), "pool-chi")
+    pools = rows.select("pool").distinct().count()
+    everywhere = rows.groupBy("guide").agg(F.countDistinct("pool").alias("k")).filter(F.col("k") == pools).select("guide")
+    return rows.filter("place <= 40").select("guide").distinct().join(everywhere, "guide", "left_semi")
 
 
 @query(", s as (select pool, guide, category, count(*) as n from gr where perfect group by all) select pool || '|' || category as outcome, guide, n from s")
@@ -225,12 +234,12 @@ def cluster_gene_composition(spark, folder):
     return G.cluster_genes(G.hierarchical(_distances(spark, folder), "distance"), facts.guides(spark, folder))
 
 
-@query(_COR + ", b2 as (select a, b, r from pr where r is not null union all select b, a, r from pr where r is not null), k as (select a, b, round(r, 6) as r, row_number() over (partition by a order by round(r, 6) desc, b) as place from b2) select a, b, r, place, lib.gene from k join lib on lib.guide = k.a where place <= 10")
+@query(_COR + ", b2 as (select a, b, r from pr where r is not null union all select b, a, r from pr where r is not null), k as (select a, b, round(r, 4) as r, row_number() over (partition by a order by round(r, 4) desc, b) as place from b2) select a, b, r, place, lib.gene from k join lib on lib.guide = k.a where place <= 10")
 def neighbour_graph(spark, folder):
     """The ten nearest guides of every guide with its gene: what an embedding starts from."""
-    pairs = materialize(R.correlations(_matrix(spark, folder), "guide", OUTCOME, "x").filter("r is not null").withColumn("r", r6("r")), "pairs")
+    pairs = materialize(R.correlations(_matrix(spark, folder), "guide", OUTCOME, "x").filter("r is not null").withColumn("r", r4("r")), "pairs")
     rows = C.ranked(R.both_ways(pairs, "r"), ["a"], [F.desc("r"), F.asc("b")], "place").filter("place <= 10")
-    return rows.join(facts.guides(spark, folder).select(F.col("guide").alias("a"), "gene"), "a").select("a", "b", r6("r").alias("r"), F.col("place").cast("long").alias("place"), "gene")
+    return rows.join(facts.guides(spark, folder).select(F.col("guide").alias("a"), "gene"), "a").select("a", "b", "r", F.col("place").cast("long").alias("place"), "gene")
 
 
 # -- cells: users of the event table stand for cells, event types for features ---
