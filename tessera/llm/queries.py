@@ -142,7 +142,26 @@ counts as (select field, item, count(*) as n_records from items group by field,
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')"
 
+# reads of one molecule by brute force: candidates agree in all places of the barcode but one
+_GROUPS = """
+with recursive r as (
+  select read_id, coalesce(min(upper(trim(quartet_name))), '') as q, min(upper(umi)) as u, min(upper(seq)) as s, min(qual) as qual, min(sequenced_at) as seen_at
+  from umi_reads where read_id is not null and umi is not null and seq is not null group by read_id),
+k as (select read_id, q, u, list_distinct(list_transform(range(1, length(s) - 6), lambda i: substr(s, i, 8))) as g from r where length(s) >= 8),
+w as (select read_id, q, substr(u, 1, p - 1) || '_' || substr(u, p + 1) as pattern from k, unnest(range(1, length(u) + 1)) as t(p)),
+c as (select distinct a.read_id as a, b.read_id as b from w a join w b on a.q = b.q and a.pattern = b.pattern and a.read_id < b.read_id),
+l as (select c.a, c.b from c join k x on x.read_id = c.a join k y on y.read_id = c.b where 3 * len(list_intersect(x.g, y.g)) >= len(x.g) + len(y.g)),
+e as (select a, b from l union all select b, a from l),
+reach as (select a as id, b as other from e union select reach.id, e.b from reach join e on e.a = reach.other),
+grp as (select id as read_id, least(id, min(other)) as group_id from reach group by id)
+"""
+
 ORACLE: dict[str, str] = {
+    "p3_groups": _GROUPS + "select read_id, group_id from grp",
+    "p3_found": _GROUPS + "select a.read_id as read_id_a, b.read_id as read_id_b from grp a join grp b on a.group_id = b.group_id and a.read_id < b.read_id",
+    "p7_found": _GROUPS + """, f as (select grp.group_id, r.read_id, length(regexp_replace(s, '[^ACGT]', '', 'g')) as called, list_sum(list_transform(string_split(qual, ''), lambda x: ascii(x) - 33)) as phred, length(regexp_replace(u, '[^N]', '', 'g')) as uncalled, seen_at from grp join r on r.read_id = grp.read_id),
+o as (select *, row_number() over (partition by group_id order by called desc, phred desc nulls last, seen_at desc nulls last, read_id) as i, row_number() over (partition by group_id order by uncalled, seen_at desc nulls last, read_id) as j from f)
+select group_id as group_read_id, min(read_id) filter (i = 1) as seq_read_id, min(read_id) filter (j = 1) as umi_read_id from o group by group_id""",
     "p8_found": r"select doc_id from documents where len(regexp_extract_all(text, '[A-Za-z0-9]+|[^ \t\r\n]')) > 1024",
     "p8_whole": r"""with t as (select doc_id, coalesce(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^ \t\r\n]')), 0) as n from documents)
 select count(*) as texts, cast(sum(n) as bigint) as tokens, count(*) filter (n > 1024) as texts_over, 0 as cut_in_vain, 0 as with_gaps, 0 as overfull from t""",
