@@ -10,7 +10,7 @@ from tessera.operators import demux as D
 from tessera.plans import facts
 from tessera.plans.facts import SQL
 from tessera.session import scratch_root
-from tessera.sources import formats, screens, snapshots
+from tessera.sources import bam, formats, screens, snapshots
 from tessera.sources.tables import table
 from tessera.streaming import demultiplex as ST
 
@@ -40,6 +40,43 @@ def fastq_round_trip(spark, folder):
     return formats.read_fastq(spark, path.removeprefix("file://") + "/part-*")
 
 
+_BAM = """, u as (select read_id, quartet_name, seq, qual, read_id % 3 as k from rd where seq is not null and qual is not null and length(seq) = length(qual))
+"""
+
+
+def _bam_rows(spark, folder):
+    """Reads with one to three alignments each, at places that follow from their length and number."""
+    rows = facts.reads(spark, folder).filter("seq is not null and qual is not null and length(seq) = length(qual)")
+    rows = rows.select("read_id", "quartet_name", F.col("read_id").cast("string").alias("name"), "seq", "qual", F.explode(F.sequence(F.lit(0), F.pmod("read_id", F.lit(3)).cast("int"))).alias("i"))
+    first = F.col("i") == 0
+    return rows.select("quartet_name", "name", F.when(first, 0).otherwise(256).alias("flag"), F.when(first, "target").otherwise("donor").alias("ref"), (F.col("i") * 7).cast("int").alias("pos"), F.lit(60).alias("mapq"), F.concat(F.length("seq") - 3, F.lit("M2D3S")).alias("cigar"), "seq", "qual")
+
+
+@query(_BAM + "select read_id, quartet_name, seq, qual, k + 1 as n_alignments, k * 7 as last_pos, length(seq) - 1 as covered from u")
+def bam_by_name(spark, folder):
+    """Alignments written to one folder a quartet, read again and grouped by read name."""
+    path = _folder(spark, "bam")
+    bam.write_bam(_bam_rows(spark, folder), path, ["quartet_name"], ["name", "pos"], [("target", 216), ("donor", 120)])
+    reads = bam.by_name(bam.read_bam(spark, path))
+    quartets = facts.reads(spark, folder).select("read_id", "quartet_name")
+    last = F.element_at("alignments", -1)
+    out = reads.select(F.col("name").cast("long").alias("read_id"), "seq", "qual", F.size("alignments").cast("long").alias("n_alignments"), F.array_max("alignments.pos").cast("long").alias("last_pos"), bam.reference_length(last["cigar"]).cast("long").alias("covered"))
+    return out.join(quartets, "read_id")
+
+
+@query(_BAM + "select quartet_name, count(*) as n_records, count(distinct read_id) as n_reads from u, unnest(range(0, k + 1)) as t(i) group by quartet_name")
+def bam_merged(spark, folder):
+    """The files of all quartets in one, each name with the quartet it comes from."""
+    path, whole = _folder(spark, "bam-parts"), _folder(spark, "bam-whole")
+    rows = _bam_rows(spark, folder)
+    files = bam.write_bam(rows, path, ["quartet_name"], ["name", "pos"])
+    label = F.regexp_extract("path", "quartet_name=([^/]*)", 1)
+    quartets = sorted((r.label, r.at) for r in files.groupBy(label.alias("label")).agg(F.min(F.regexp_extract("path", "(.*)/", 1)).alias("at")).collect())
+    bam.write_bam(bam.merged([(q, bam.read_bam(spark, at)) for q, at in quartets], "|"), whole, [], ["name", "pos"])
+    parts = F.split("name", "[|]")
+    return bam.read_bam(spark, whole).groupBy(F.url_decode(parts[1]).alias("quartet_name")).agg(F.count("*").alias("n_records"), F.countDistinct(parts[0]).alias("n_reads"))
+
+
 @query("select guide as name, full_seq as seq from lib")
 def fasta_round_trip(spark, folder):
     path = _folder(spark, "fasta")
