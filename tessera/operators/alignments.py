@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -199,6 +200,49 @@ def foreign_kind(piece: Piece, left: Piece | None, right: Piece | None, read_len
     return "genomic insertion"
 
 
+def align_read(read: str, target: str, cut: int, most_edits: float = 0.1) -> list[dict]:
+    """Alignments of a read to the target, as :mod:`tessera.operators.categorise` takes them.
+
+    A read of the target's length with few mismatches is one alignment.  Else
+    the perfect matches of both ends are joined to one alignment with what lies
+    between them as a deletion, an insertion, or both; ends that do not follow
+    each other stay apart, neighbours on one diagonal are merged, and what
+    covers no base of its own is dropped.
+    """
+    n = len(read)
+    row = lambda p, edits=0, indels=(): {"ref": p.ref, "q_start": p.q_start, "q_end": p.q_end, "r_start": p.r_start, "r_end": p.r_end, "strand": p.strand, "edits": edits, "indels": [{"kind": k, "start": a, "length": b} for k, a, b in indels]}
+    if n == len(target):
+        edits = sum(a != b for a, b in zip(read, target))
+        if edits <= most_edits * n:
+            return [row(Piece("target", 0, n - 1, 0, n - 1), edits)]
+    left, right = edge_seed(read, target, True, high=cut + 1), edge_seed(read, target, False, low=cut + 1)
+    gap = insertion_with_deletion(left, right, read) if left and right else None
+    if gap is None:
+        return [row(p) for p in merge_adjacent(parsimonious([p for p in (left, right) if p]))]
+    indels = [(kind, gap["start"], size) for kind, size in (("D", gap["removed"]), ("I", len(gap["inserted"]))) if size]
+    return [row(Piece("target", 0, n - 1, left.r_start, right.r_end), 0, indels)]
+
+
+def align_reads(reads: DataFrame, target: str, cut: int, seq: str = "seq") -> DataFrame:
+    """Adds ``alignments`` to reads; equal sequences of a batch are aligned once, null sequences have none."""
+    from tessera.operators.categorise import ALIGNMENT
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reads.schema.fields) + f", alignments array<{ALIGNMENT}>"
+    kind = pa.list_(pa.struct([("ref", pa.string()), ("q_start", pa.int32()), ("q_end", pa.int32()), ("r_start", pa.int32()), ("r_end", pa.int32()), ("strand", pa.string()), ("edits", pa.int32()), ("indels", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())])))]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[str, list[dict]] = {}
+            out = []
+            for text in batch.column(seq).to_pylist():
+                if text is not None and text not in known:
+                    known[text] = align_read(text, target, cut)
+                out.append(known.get(text, []))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, "alignments"])
+
+    return reads.mapInArrow(work, ddl)
+
+
 _DDL = "read_id string, left_end int, right_start int, removed int, inserted string, shared int, homology int, templated string, template_start int"
 
 

@@ -149,6 +149,8 @@ def features(reads: DataFrame, target: Target) -> DataFrame:
             "indel_kind": F.get(F.col("_w.indels"), F.lit(0))["kind"],
             "indel_start": F.get(F.col("_w.indels"), F.lit(0))["start"],
             "indel_length": F.get(F.col("_w.indels"), F.lit(0))["length"],
+            "is_joined": F.coalesce((F.size(F.col("_w.indels")) == 2) & (F.get(F.col("_w.indels"), F.lit(0))["kind"] == "D") & (F.get(F.col("_w.indels"), F.lit(1))["kind"] == "I") & (F.get(F.col("_w.indels"), F.lit(0))["start"] == F.get(F.col("_w.indels"), F.lit(1))["start"]), F.lit(False)),
+            "inserted_length": F.get(F.col("_w.indels"), F.lit(1))["length"],
             "n_near": F.coalesce(F.size(indels_outside(indels_near(F.col("_w"), target.cut), target.primers)), F.lit(0)),
             "n_mismatches": F.coalesce(F.col("_w.edits"), F.lit(0)),
             "starts_as_expected": F.coalesce(F.abs(F.col("_w.r_start") - F.lit(target.read_start)) <= 2, F.lit(False)),
@@ -188,6 +190,7 @@ def decide(target: Target) -> list[tuple[Column, str, str, Column]]:
         (one & (c("indel_kind") == "D"), "deletion", "mismatches", deletion),
         (one & (c("indel_kind") == "I") & (mism == 0), "insertion", "clean", insertion),
         (one & (c("indel_kind") == "I"), "insertion", "mismatches", insertion),
+        (single & c("is_joined") & (c("n_near") > 0), "deletion + insertion", "clean", F.format_string("D:%d,%d;I:%d,%d", c("indel_start"), c("indel_length"), c("indel_start"), c("inserted_length"))),
         (single & c("has_donor"), "donor", "synthesis errors", none),
         (single, "multiple indels", "multiple indels", none),
         (c("has_donor"), "donor misintegration", "complex", none),

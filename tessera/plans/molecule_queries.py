@@ -10,6 +10,7 @@ from tessera.operators import categorise as K
 from tessera.operators import demux as D
 from tessera.operators import library as L
 from tessera.operators import umi as U
+from tessera.operators.alignments import align_reads
 from tessera.operators.counts import OUTCOME
 from tessera.plans import facts
 from tessera.plans.facts import SQL
@@ -211,37 +212,39 @@ def consensus_reads(spark, folder):
 
 # -- categories from alignments ---------------------------------------------
 
-_TARGET = K.Target(read_start=0, cut=110)
-
-
-def _alignments(spark, folder) -> DataFrame:
-    """Alignments that the details of the records stand for, on a target of 216 bases."""
-    rows = facts.records(spark, folder).filter("seq is not null")
-    indel = lambda kind, start, length: F.struct(F.lit(kind).alias("kind"), start.alias("start"), length.alias("length"))
-    d_start, d_len = F.regexp_extract("details", r"D:(\d+),(\d+)", 1), F.regexp_extract("details", r"D:(\d+),(\d+)", 2)
-    i_start, i_bases = F.regexp_extract("details", r"I:(\d+),([ACGTN]+)", 1), F.regexp_extract("details", r"I:(\d+),([ACGTN]+)", 2)
-    number = lambda text: F.when(text != "", text).otherwise("0").cast("int")
-    indels = F.array_compact(F.array(F.when(d_start != "", indel("D", number(d_start), number(d_len))), F.when(i_start != "", indel("I", number(i_start), F.length(i_bases)))))
-    last = F.length("seq") - 1
-    one = F.struct(F.lit("target").alias("ref"), F.lit(0).alias("q_start"), last.alias("q_end"), F.lit(0).alias("r_start"), last.alias("r_end"), F.lit("+").alias("strand"), F.when(F.col("category") == "donor", 1).otherwise(0).alias("edits"), indels.alias("indels"))
-    half = F.struct(F.lit("target").alias("ref"), F.lit(0).alias("q_start"), F.lit(40).alias("q_end"), F.lit(0).alias("r_start"), F.lit(40).alias("r_end"), F.lit("+").alias("strand"), F.lit(0).alias("edits"), F.array().cast("array<struct<kind:string,start:int,length:int>>").alias("indels"))
-    genome = F.struct(F.lit("hg19").alias("ref"), F.lit(41).alias("q_start"), last.alias("q_end"), F.lit(7).alias("r_start"), (last - 34).alias("r_end"), F.lit("+").alias("strand"), F.lit(0).alias("edits"), F.array().cast("array<struct<kind:string,start:int,length:int>>").alias("indels"))
-    alignments = F.when(F.col("category") == "genomic insertion", F.array(half, genome)).when(F.col("category") == "uncategorized", F.array().cast(f"array<{K.ALIGNMENT}>")).otherwise(F.array(one)).cast(f"array<{K.ALIGNMENT}>")
-    return rows.select("record_id", "seq", F.rpad(F.lit("F"), F.length("seq"), "F").alias("qual"), alignments.alias("alignments"))
+_CUT = 47
 
 
 @query(
-    """, a as (select record_id, seq, category as c0, length(seq) as len, regexp_extract(details, 'D:(\\d+),(\\d+)', 1) as ds, regexp_extract(details, 'D:(\\d+),(\\d+)', 2) as dl, regexp_extract(details, 'I:(\\d+),([ACGTN]+)', 1) as si, regexp_extract(details, 'I:(\\d+),([ACGTN]+)', 2) as ib from rec where seq is not null),
-b as (select *, case when c0 in ('genomic insertion', 'uncategorized') then 0 else (ds <> '')::int + (si <> '')::int end as n, case when ds <> '' then 'D' else 'I' end as kind, case when ds <> '' then ds::int when si <> '' then si::int end as st, case when ds <> '' then dl::int else length(ib) end as il from a),
-c as (select *, (n = 1 and st <= 115 and (case when kind = 'D' then st + il - 1 else st end) >= 105 and not (st >= 181 and (case when kind = 'D' then st + il - 1 else st end) <= 200)) as near from b)
-select record_id,
-  case when c0 = 'uncategorized' then 'bad sequence' when len <= 50 then 'nonspecific amplification' when c0 = 'genomic insertion' then case when len - 41 >= 25 then 'genomic insertion' else 'uncategorized' end
-    when n = 0 and c0 = 'donor' then 'mismatches' when n = 0 then 'wild type' when n = 1 and not near and il <= 3 then 'wild type' when n = 1 and not near then 'uncategorized' when n = 1 and kind = 'D' then 'deletion' when n = 1 then 'insertion' else 'multiple indels' end as category,
-  case when n = 1 and c0 <> 'uncategorized' and len > 50 and near then kind || ':' || st || ',' || il when c0 = 'genomic insertion' and len - 41 >= 25 then 'G:' || (len - 41) else 'n/a' end as details,
-  cast(case when c0 in ('uncategorized', 'genomic insertion') then -1 else len end as int) as inferred_amplicon_length from c"""
+    f""", t as (select seq as tg, length(seq) as tl from rec where seq is not null group by seq order by count(*) desc, seq limit 1),
+s as (select distinct seq, length(seq) as n, tg, tl, substr(tg, 1, {_CUT + 1}) as head, substr(tg, {_CUT + 2}) as tail from rec, t where seq is not null),
+h as (select *, case when n = tl then list_sum(list_transform(range(1, n + 1), lambda i: (substr(seq, i, 1) <> substr(tg, i, 1))::int)) end as edits,
+  list_max(list_filter(range(4, least(20, n) + 1), lambda k: contains(head, substr(seq, 1, k)))) as lk, list_max(list_filter(range(4, least(20, n) + 1), lambda k: contains(tail, right(seq, k)))) as rk from s),
+p as (select *, strpos(head, substr(seq, 1, lk)) - 1 as la, {_CUT + 1} + length(tail) - (strpos(reverse(tail), reverse(right(seq, rk))) - 1) - rk as ra from h),
+e as (select *, coalesce(list_min(list_filter(range(lk, n), lambda i: la + i >= tl or substr(seq, i + 1, 1) <> substr(tg, la + i + 1, 1))), n) as lm,
+  coalesce(list_min(list_filter(range(rk, n), lambda i: ra - (i - rk) <= 0 or substr(seq, n - i, 1) <> substr(tg, ra - (i - rk), 1))), n) as rm from p),
+g as (select *, case when lk is not null and rk is not null then greatest(0, lm + rm - n) end as shared from e),
+f as (select *, la + lm - 1 as l_end, ra - (rm - rk) + shared as r_at, n - rm + shared as q_at from g),
+i as (select *, edits is not null and edits <= 0.1 * n as same, lk is not null and rk is not null and r_at > l_end as joined, r_at - l_end - 1 as removed, q_at - lm as inserted, l_end + 1 as pl from f),
+c as (select seq, n, case when same then 'same' when joined and removed = 0 and inserted = 0 then 'none' when joined and removed > 0 and inserted > 0 then 'both' when joined and removed > 0 then 'D' when joined then 'I' when lk is not null and (lm >= n - 2) or rk is not null and rm >= n - 2 then 'end' when lk is null and rk is null then 'unmapped' else 'apart' end as kind,
+  edits, la, removed, inserted, pl, case when not same and joined and removed > 0 then pl + removed - 1 else pl end as stop, case when lk is not null and lm >= n - 2 then la else ra - (rm - rk) end as end_at,
+  lk, rk from i),
+d as (select *, pl <= {_CUT + 5} and stop >= {_CUT - 5} as near, pl <= {_CUT + 5} and pl >= {_CUT - 5} as near_i from c)
+select rec.record_id,
+  case when kind = 'unmapped' then 'bad sequence' when n <= 50 then 'nonspecific amplification' when kind = 'same' and edits = 0 or kind = 'none' and la <= 2 then 'wild type' when kind = 'none' then 'truncation' when kind = 'same' then 'mismatches' when kind in ('D', 'I') and not near and greatest(removed, inserted) <= 3 then 'wild type'
+    when kind in ('D', 'I') and not near then 'uncategorized' when kind = 'D' then 'deletion' when kind = 'I' then 'insertion' when kind = 'both' and (near or near_i) then 'deletion + insertion' when kind = 'both' then 'multiple indels' when kind = 'end' and end_at <= 2 then 'wild type' when kind = 'end' then 'truncation' when lk is not null and rk is not null then 'duplication' when n - length(replace(d.seq, 'N', '')) > 10 or contains(d.seq, repeat('G', 20)) then 'bad sequence' else 'uncategorized' end as category,
+  case when kind in ('unmapped') or n <= 50 then 'n/a' when kind = 'D' and near then 'D:' || pl || ',' || removed when kind = 'I' and near then 'I:' || pl || ',' || inserted when kind = 'both' and (near or near_i) then 'D:' || pl || ',' || removed || ';I:' || pl || ',' || inserted when kind = 'apart' and lk is not null and rk is not null then 'simple' else 'n/a' end as details
+from rec join d on d.seq = rec.seq"""
 )
-def categorise_alignments(spark, folder):
-    return K.CATEGORISERS["pooled"](_alignments(spark, folder), _TARGET).select("record_id", "category", "details", "inferred_amplicon_length")
+def categorise_sequences(spark, folder):
+    """Categories from the sequences alone: aligned to the most frequent one, which stands for the target."""
+    rows = materialize(facts.records(spark, folder).filter("seq is not null").select("record_id", "seq"), "sequences")
+    top = rows.groupBy("seq").count().orderBy(F.desc("count"), "seq").first()
+    size = len(top.seq) if top else 0
+    target = K.Target(read_start=0, read_end=size - 1, cut=_CUT, primers=())
+    # consensus sequences carry no scores
+    aligned = align_reads(rows, top.seq if top else "", _CUT).withColumn("qual", F.rpad(F.lit("F"), F.length("seq"), "F"))
+    return K.CATEGORISERS["pooled"](aligned, target).select("record_id", "category", "details")
 
 
 @query("select category, subcategory, details, count(*) as n from gr where regexp_matches(details, '(^|;)S:\\d+A') and len(regexp_extract_all(details, '(?:^|;)S:\\d+A')) >= 1 group by all")

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tessera.operators import alignments as A
 from tessera.operators.alignments import Piece
 
@@ -71,3 +73,24 @@ def test_resolve_reads(spark):
     assert set(got) == {"a", "b", "c", "g"}
     assert got["a"].removed == got["b"].removed == 20 and got["g"].removed == 0
     assert got["c"].removed <= 7 and got["c"].inserted.strip("G") == ""
+
+
+def test_reads_are_aligned_and_categorised(spark):
+    from tessera.operators import categorise as K
+
+    t = TARGET
+    dup = t[:60] + t[40:]
+    noisy = t[:30] + ("A" if t[30] != "A" else "C") + t[31:]
+    reads = {
+        "wt": t, "mm": noisy, "del": t[:50] + t[70:], "ins": t[:60] + "GGG" + t[60:], "both": t[:55] + "NNN" + t[62:], "dup": dup, "none": "N" * 90, "far": t[:20] + t[22:], "short": t[:45], "null": None, "empty": "",
+    }
+    df = spark.createDataFrame([(k, v, "x") for k, v in reads.items()], "name string, seq string, kind string")
+    aligned = A.align_reads(df, t, CUT).withColumn("qual", F.rpad(F.lit("F"), F.length("seq"), "F"))
+    got = {r["name"]: (r.category, r.details) for r in K.categorise(aligned, K.Target(read_end=119, cut=CUT, primers=())).collect()}
+    assert got["wt"] == ("wild type", "n/a") and got["mm"] == ("mismatches", "n/a") and got["dup"] == ("duplication", "simple")
+    assert got["none"][0] == got["empty"][0] == got["null"][0] == "bad sequence" and got["short"][0] == "nonspecific amplification"
+    assert got["far"] == ("wild type", "n/a")
+    left = A.align_read(reads["del"], t, CUT)[0]["indels"][0]
+    assert got["del"] == ("deletion", f"D:{left['start']},20") and left["length"] == 20 and left["start"] <= 50
+    assert got["ins"][0] == "insertion" and got["ins"][1].endswith(",3")
+    assert got["both"] == ("deletion + insertion", "D:55,7;I:55,3")
