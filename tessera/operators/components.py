@@ -12,8 +12,9 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star operation: link the neighbours of every node to its least neighbour.
 
     The least neighbours come from a plain aggregate, with partial sums before
-    the shuffle, and are joined back, so a node with very many links is neither
-    one group in one task nor collected.
+    the shuffle, so a node with very many links is neither one group nor
+    collected.  They are joined back by node, where such a node is one key: the
+    adaptive execution splits its partition over tasks.
     """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

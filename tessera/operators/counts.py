@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 OUTCOME = ["category", "subcategory", "details"]
 #: Categories that keep their subcategory and lose their details, and those that keep the details.
 DETAILS_COLLAPSED = ("genomic insertion", "donor misintegration")
@@ -112,3 +114,21 @@ def merge_pools(*pools: DataFrame) -> DataFrame:
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def ranked_over_all(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Row numbers from 1 over the whole table without one task for all rows.
+
+    The table is ranged by ``order`` and written; a row's number is its place in
+    its range plus the rows of the ranges before, of which there are as many as
+    partitions.  ``order`` must be total for a defined result.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_p").count().orderBy("_p").collect()
+    before, rows = 0, []
+    for r in sizes:
+        rows.append((r[0], before))
+        before += r[1]
+    offsets = df.sparkSession.createDataFrame(rows, "_p int, _before long")
+    placed = ranged.join(offsets, "_p").withColumn(name, (F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy(*order))).cast("long"))
+    return placed.drop("_p", "_before")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.counts import OUTCOME
+from tessera.operators.counts import OUTCOME, ranked_over_all
 from tessera.session import materialize, release
 
 HIGH, LOW, UNSURE = 31, 10, 2
@@ -49,7 +49,7 @@ def winners(voted: DataFrame, by: list[str]) -> DataFrame:
 def common_sequences(reads: DataFrame, seq: str, least: int = 2) -> DataFrame:
     """``seq, n, rank`` of the sequences that occur at least ``least`` times, most frequent first."""
     counts = reads.filter(F.col(seq).isNotNull()).groupBy(F.col(seq).alias("seq")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "seq")) - 1)
+    return ranked_over_all(counts, [F.desc("n"), F.asc("seq")]).withColumn("rank", F.col("rank") - 1)
 
 
 def once_per_sequence(reads: DataFrame, seq: str, apply, key: str = "seq") -> DataFrame:

@@ -118,10 +118,16 @@ def text_records_round_trip(spark, folder):
     return formats.read_records(spark, path, "record_id long, details string, note string")
 
 
-@query("select read_id from rd where seq is not null and qual is not null")
+@query("select read_id, guide, seq from rd where seq is not null and qual is not null and guide is not null and guide_qual is not null")
 def mates_in_step(spark, folder):
-    rows = facts.reads(spark, folder).filter("seq is not null and qual is not null").select(F.col("read_id").cast("string").alias("name"), "seq", "qual")
-    return formats.lock_step(rows, rows).select(F.col("name").cast("long").alias("read_id"))
+    """The guide read and the outcome read of every pair, each from a FASTQ file of its own."""
+    rows = facts.reads(spark, folder).filter("seq is not null and qual is not null and guide is not null and guide_qual is not null").withColumn("name", F.col("read_id").cast("string"))
+    mates = []
+    for seq, qual in (("guide", "guide_qual"), ("seq", "qual")):
+        path = _folder(spark, "mates")
+        formats.to_fastq(rows, "name", seq, qual).write.text(path)
+        mates.append(formats.read_fastq(spark, path.removeprefix("file://") + "/part-*"))
+    return formats.lock_step(*mates).select(F.col("name").cast("long").alias("read_id"), F.col("r1.seq").alias("guide"), F.col("r2.seq").alias("seq"))
 
 
 @query("select screen_name from collapsed_umis group by screen_name", "")

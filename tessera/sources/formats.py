@@ -140,13 +140,11 @@ def to_fasta(df: DataFrame, name: str, seq: str) -> DataFrame:
 
 def read_matrix_market(spark: SparkSession, prefix: str) -> DataFrame:
     """``cell, feature, n`` from ``prefix.mtx``, ``prefix.barcodes.txt`` and ``prefix.genes.txt``."""
-    entries = spark.read.text(f"{prefix}.mtx").filter(~F.col("value").startswith("%"))
+    # the first line that is no comment names the sizes
+    lines = spark.sparkContext.textFile(f"{prefix}.mtx").filter(lambda x: not x.startswith("%")).zipWithIndex().filter(lambda x: x[1] > 0).map(lambda x: (x[0],))
     parts = F.split(F.trim("value"), r"\s+")
     cells, features = (_numbered(spark, f"{prefix}.{x}.txt") for x in ("barcodes", "genes"))
-    numbers = entries.select(parts[0].cast("int").alias("row"), parts[1].cast("int").alias("col"), parts[2].cast("double").alias("n"))
-    # the line with the sizes names the last row and column together with the number of entries
-    size = spark.read.text(f"{prefix}.mtx").filter(~F.col("value").startswith("%")).limit(1).first()[0].split()
-    body = numbers.filter(~((F.col("row") == int(size[0])) & (F.col("col") == int(size[1])) & (F.col("n") == float(size[2]))))
+    body = spark.createDataFrame(lines, "value string").select(parts[0].cast("int").alias("row"), parts[1].cast("int").alias("col"), parts[2].cast("double").alias("n"))
     return body.join(cells.select(F.col("i").alias("row"), F.col("value").alias("cell")), "row").join(features.select(F.col("i").alias("col"), F.col("value").alias("feature")), "col").select("cell", "feature", F.col("n").cast("long").alias("n"))
 
 

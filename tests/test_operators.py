@@ -432,3 +432,11 @@ def test_tasks_follow_the_bytes(spark):
     archive = compaction.pack_files(rows, "quartet", "chunk", "id", ["at"], task_bytes=50_000)
     tasks = [r[0] for r in archive.blocks.groupBy(F.substring("block_id", 1, 6)).agg(F.sum("n_bytes").alias("n")).select("n").collect()]
     assert len(tasks) >= 8 and max(tasks) < 200_000 and archive.records().count() == 1000
+
+
+def test_ranked_over_all(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 101).alias("v"), "id").repartition(7)
+    got = counts.ranked_over_all(df, [F.desc("v"), F.asc("id")]).collect()
+    want = sorted(((i * 37 % 101, i) for i in range(500)), key=lambda x: (-x[0], x[1]))
+    assert [(r.v, r.id) for r in sorted(got, key=lambda r: r["rank"])] == want and {r["rank"] for r in got} == set(range(1, 501))
+    assert counts.ranked_over_all(df.limit(0), [F.asc("id")]).count() == 0

@@ -91,3 +91,10 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
         demultiplex.write_once(demultiplex.stream_table(spark, src, "id long"), out, state).awaitTermination()
         assert spark.read.parquet(out).count() == total
         spark.range(7).write.mode("append").parquet(src)
+
+
+def test_an_entry_may_equal_the_size_line(spark, tmp_path):
+    (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate integer general\n% note\n2 2 2\n1 1 5\n2 2 2\n")
+    (tmp_path / "m.barcodes.txt").write_text("c1\nc2\n")
+    (tmp_path / "m.genes.txt").write_text("g1\ng2\n")
+    assert sorted(tuple(r) for r in formats.read_matrix_market(spark, str(tmp_path / "m")).collect()) == [("c1", "g1", 5), ("c2", "g2", 2)]
